@@ -43,8 +43,10 @@ VALUE_SHARE = 0.5
 SHAPE_CHARS, SHAPE_DIGITS = 10, 6
 #: ... and if this share of its strings has it.
 SHAPE_SHARE = 0.5
-#: Shapes counted for a field in a batch; a field with more has no fixed shape.
+#: Shapes that a batch counts by name for a field; all are counted by bucket.
 SHAPES_KEPT = 64
+#: Buckets that count a field's shapes across batches.
+BUCKETS = 8
 
 _rng = np.random.default_rng(20240229)
 _MULT = {k: _rng.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1) for k, n in SIGNATURES.items()}
@@ -125,12 +127,13 @@ def _hash(text: str) -> int:
 class _Fold:
     """What one batch knows of one field of one file."""
 
-    __slots__ = ("types", "hashes", "shapes")
+    __slots__ = ("types", "hashes", "shapes", "buckets")
 
     def __init__(self) -> None:
         self.types: dict[str, int] = {}
         self.hashes: dict[str, set[int]] = {k: set() for k in SIGNATURES}
         self.shapes: Counter[str] = Counter()
+        self.buckets = [0] * BUCKETS
 
     def add(self, entity: str, value) -> None:
         kind = type_of(value)
@@ -142,8 +145,11 @@ class _Fold:
         if entity:
             self.hashes["entity"].add(_hash(entity))
             self.hashes["pair"].add(_hash(f"{entity}\0{text}"))
-        if kind == "string" and (len(self.shapes) < SHAPES_KEPT or _shape(value) in self.shapes):
-            self.shapes[_shape(value)] += 1
+        if kind == "string":
+            shape = _shape(value)
+            self.buckets[_hash(shape) % BUCKETS] += 1
+            if len(self.shapes) < SHAPES_KEPT or shape in self.shapes:
+                self.shapes[shape] += 1
 
     def signature(self, kind: str) -> list[int | None]:
         got = self.hashes[kind]
@@ -154,6 +160,7 @@ class _Fold:
         return mixed.min(0).astype(np.int64).tolist()
 
 
+_BUCKET_COLS = [f"bucket_{i}" for i in range(BUCKETS)]
 _SIG_COLS = [f"{k}_{i}" for k, n in SIGNATURES.items() for i in range(n)]
 
 
@@ -164,7 +171,7 @@ def file_fields(df: DataFrame, kind: str, payload_col: str = "payload") -> DataF
     """
     schema = T.StructType(
         [T.StructField("feed", T.StringType()), T.StructField("file_no", T.LongType()), T.StructField("field", T.StringType()), T.StructField("type", T.StringType()), T.StructField("n", T.LongType()), T.StructField("shape", T.StringType()), T.StructField("shape_n", T.LongType())]
-        + [T.StructField(c, T.LongType()) for c in _SIG_COLS]
+        + [T.StructField(c, T.LongType()) for c in _BUCKET_COLS + _SIG_COLS]
     )
     records = RECORDS[kind]
 
@@ -179,12 +186,12 @@ def file_fields(df: DataFrame, kind: str, payload_col: str = "payload") -> DataF
                     for prefix, entity, record in records(value):
                         for name, x in _fields(prefix, record):
                             (folds.get((feed, no, name)) or folds.setdefault((feed, no, name), _Fold())).add(entity, x)
-            rows = [(feed, no, None, None, 0, None, 0, *[None] * len(_SIG_COLS)) for feed, no in files]
+            rows = [(feed, no, None, None, 0, None, 0, *[0] * BUCKETS, *[None] * len(_SIG_COLS)) for feed, no in files]
             for (feed, no, name), fold in folds.items():
                 sig = [x for k in SIGNATURES for x in fold.signature(k)]
                 shape, shape_n = min(((s, c) for s, c in fold.shapes.items()), key=lambda x: (-x[1], x[0]), default=(None, 0))
                 for i, (t, n) in enumerate(fold.types.items()):
-                    rows.append((feed, no, name, t, n, *((shape, shape_n) if t == "string" else (None, 0)), *(sig if i == 0 else [None] * len(sig))))
+                    rows.append((feed, no, name, t, n, *((shape, shape_n, *fold.buckets) if t == "string" else (None, 0, *[0] * BUCKETS)), *(sig if i == 0 else [None] * len(sig))))
             cols = list(zip(*rows)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if f.dataType == T.StringType() else pa.int64()) for c, f in zip(cols, schema)], schema.names)
 
@@ -192,8 +199,8 @@ def file_fields(df: DataFrame, kind: str, payload_col: str = "payload") -> DataF
         df.select("feed", F.col("file_no").cast("long").alias("file_no"), payload_col)
         .mapInArrow(read, schema)
         .groupBy("feed", "file_no", "field", "type")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("shape_n", "shape")).alias("s"), *(F.min(c).alias(c) for c in _SIG_COLS))
-        .select("feed", "file_no", "field", "type", "n", "s.shape", "s.shape_n", F.array(*_SIG_COLS).alias("signature"))
+        .agg(F.sum("n").alias("n"), F.max(F.struct("shape_n", "shape")).alias("s"), *(F.sum(c).alias(c) for c in _BUCKET_COLS), *(F.min(c).alias(c) for c in _SIG_COLS))
+        .select("feed", "file_no", "field", "type", "n", "s.shape", F.array(*_BUCKET_COLS).alias("buckets"), F.array(*_SIG_COLS).alias("signature"))
     )
 
 
@@ -222,7 +229,7 @@ def _summaries(rows: list[dict]) -> dict[str, dict]:
     for name, own in sorted(at.items()):
         kind = min((-r["n"], GENERALITY.index(r["type"]), r["type"]) for r in own)[2]
         strings = [r for r in own if r["type"] == "string"]
-        fixed = strings and strings[0]["shape"] and strings[0]["shape_n"] >= SHAPE_SHARE * strings[0]["n"]
+        fixed = strings and strings[0]["shape"] and strings[0]["buckets"][_hash(strings[0]["shape"]) % BUCKETS] >= SHAPE_SHARE * strings[0]["n"]
         low = np.fmin.reduce(np.array([r["signature"] for r in own], dtype=float), axis=0)
         sig, start = {}, 0
         for k, n in SIGNATURES.items():
