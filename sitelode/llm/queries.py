@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm import capping, copies, frequency
-from sitelode.session import table
+from sitelode.llm import capping, copies, frequency, packing, residue, tokens
+from sitelode.session import cut, table
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
@@ -60,7 +60,40 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("organic_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_type_ngrams, p3_found, p3_groups, p4_found)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose title or description was never filled in or reports a failure."""
+    pages = residue.with_residue(table(spark, sf_dir, "pages").select("page_id", "title", "description"), ["title", "description"])
+    return pages.where("residue_title is not null or residue_description is not null").select("page_id")
+
+
+def p5_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages without such texts."""
+    return residue.without_residue(table(spark, sf_dir, "pages"), ["title", "description"])
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text."""
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = cut(tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "token-counts")
+    # packing_profiles is a fixed table of three rows.
+    profiles = {r["profile_id"]: r["capacity_tokens"] for r in table(spark, sf_dir, "packing_profiles").collect()}
+    return packing.pack(sizes, "doc_id", "n_tokens", profiles)
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's container for each capacity, in pieces where it alone exceeds it."""
+    return _packed(spark, sf_dir).withColumnRenamed("item_id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and used space for each capacity."""
+    return packing.fill_report(_packed(spark, sf_dir)).withColumn("used_share", F.round("used_share", 6))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_type_ngrams, p3_found, p3_groups, p4_found, p5_found, p5_clean_pages, p7_ids, p8_containers, p8_fill)}
 
 SQL = {
     "p1_terms": r"""
