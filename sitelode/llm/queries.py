@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm import capping, copies, frequency, packing, residue, tokens
+from sitelode.llm import capping, copies, frequency, packing, personal, residue, tokens
 from sitelode.session import cut, table
 
 
@@ -93,7 +93,18 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir)).withColumn("used_share", F.round("used_share", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_type_ngrams, p3_found, p3_groups, p4_found, p5_found, p5_clean_pages, p7_ids, p8_containers, p8_fill)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of personal information in the texts."""
+    return personal.find(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_lexicon"))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with each piece replaced by a placeholder of its kind."""
+    documents = table(spark, sf_dir, "documents")
+    return personal.redact(documents, "doc_id", "text", p9_found(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_type_ngrams, p3_found, p3_groups, p4_found, p5_found, p5_clean_pages, p7_ids, p8_containers, p8_fill, p9_found, p9_redacted)}
 
 SQL = {
     "p1_terms": r"""
