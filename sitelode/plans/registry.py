@@ -1,5 +1,5 @@
 """The modules whose QUERIES and SQL make up the core's queries."""
 
-from sitelode.plans import records
+from sitelode.plans import pages, records, serp
 
-MODULES = [records]
+MODULES = [records, serp, pages]
