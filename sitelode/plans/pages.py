@@ -123,4 +123,85 @@ def site_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (page_rule_findings, category_scores, overall_scores, top_priorities, sweep_summary, duplicate_titles, url_parts, coverage, stratified_sample, sitemap_hygiene, site_rule_findings)}
-SQL: dict[str, str] = {}
+
+_ND = r"regexp_replace(regexp_replace(regexp_extract(lower(regexp_replace(domain, '^[\s ]+|[\s ]+$', '', 'g')), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:@]*)', 1), '^\.+|\.+$', '', 'g'), '^www\.', '')"
+_HOST = r"coalesce(lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
+_SCHEME = r"coalesce(lower(regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)), '')"
+_PATH = r"coalesce(regexp_extract({0}, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), '')"
+_BASE = rf"""
+s AS (SELECT page_id, coalesce(url, '') AS url, source, status, coalesce({_ND}, '') AS site, trim(coalesce(title, '')) AS title, trim(coalesce(description, '')) AS description, word_count AS words,
+ coalesce(len(list_filter(h1, lambda h: trim(h) <> '')), 0) AS h1, canonical, trim(coalesce(lang, '')) AS lang, robots, internal_links, coalesce(client_rendered, false) AS rendered, schema_types FROM pages),
+u AS (SELECT *, {_SCHEME.format('url')} AS scheme, regexp_replace({_HOST.format('url')}, '^www\.', '') AS host, {_PATH.format('url')} AS path, {_SCHEME.format('canonical')} AS cscheme, regexp_replace({_HOST.format('canonical')}, '^www\.', '') AS chost,
+ CASE WHEN canonical IS NOT NULL THEN {_PATH.format('canonical')} END AS cpath FROM s),
+g AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM u),
+p AS (SELECT *, len(segs) AS depth, CASE WHEN len(segs) = 0 THEN '/' WHEN len(segs) = 1 THEN '/*' || CASE WHEN ends_with(path, '/') THEN '/' ELSE '' END
+ ELSE '/' || CASE WHEN regexp_matches(segs[1], '^(19|20)\d{{2}}$') THEN '{{year}}' ELSE segs[1] END || repeat('/*', len(segs) - 1) || CASE WHEN ends_with(path, '/') THEN '/' ELSE '' END END AS template,
+ CASE WHEN title <> '' THEN count(*) OVER (PARTITION BY site, title) END AS tn, CASE WHEN description <> '' THEN count(*) OVER (PARTITION BY site, description) END AS dn FROM g)"""
+
+#: The same rules over this table's columns, said once more for the SQL check: (severity, category, title, condition).
+_CHECKED = (
+    ("'CRITICAL'", "crawlability", "'Server error ' || status", "status >= 500"),
+    ("'HIGH'", "crawlability", "'Client error ' || status", "status BETWEEN 400 AND 499"),
+    ("'CRITICAL'", "crawlability", "'Page may be client-rendered — content missing from raw HTML'", "rendered"),
+    ("'HIGH'", "ai search", "'Content invisible to AI crawlers'", "rendered"),
+    ("'HIGH'", "crawlability", "'Possible soft 404 (200 OK with empty body)'", "words = 0 AND status = 200 AND title = ''"),
+    ("'HIGH'", "crawlability", "'Page set to noindex'", "lower(robots) LIKE '%noindex%' OR lower(trim(robots)) = 'none'"),
+    ("'HIGH'", "on page", "'Missing title tag'", "title = ''"),
+    ("'LOW'", "on page", "'Title too long'", "length(title) > 65"),
+    ("'LOW'", "on page", "'Title very short'", "length(title) BETWEEN 1 AND 24"),
+    ("'MEDIUM'", "on page", "'Missing meta description'", "description = ''"),
+    ("'LOW'", "on page", "'Meta description too long'", "length(description) > 170"),
+    ("'LOW'", "on page", "'Meta description short'", "length(description) BETWEEN 1 AND 69"),
+    ("'HIGH'", "on page", "'Missing H1 tag'", "h1 = 0 AND NOT rendered"),
+    ("'LOW'", "on page", "'Multiple H1 tags'", "h1 > 1"),
+    ("'MEDIUM'", "on page", "'Thin content (<300 words)'", "words < 300 AND status = 200 AND NOT rendered"),
+    ("'LOW'", "on page", "'Missing canonical tag'", "cpath IS NULL AND chost = '' AND status = 200 AND words > 0"),
+    ("'MEDIUM'", "crawlability", "'Canonical points to another domain'", "cscheme IN ('http', 'https') AND chost <> host"),
+    ("'MEDIUM'", "crawlability", "'Canonical points at the http:// version'", "chost = host AND cscheme = 'http' AND scheme = 'https'"),
+    ("'MEDIUM'", "crawlability", "'Canonicalized to a different URL'", "chost = host AND NOT (cscheme = 'http' AND scheme = 'https') AND rtrim(cpath, '/') <> rtrim(path, '/')"),
+    ("'LOW'", "on page", "'URL slug not clean'", "regexp_matches(path, '[A-Z]|_|%20')"),
+    ("'LOW'", "on page", "'Dead-end page (no internal links)'", "status = 200 AND words > 100 AND internal_links = 0"),
+    ("'LOW'", "on page", "'Very high internal link count'", "status = 200 AND words > 100 AND internal_links > 300"),
+    ("'CRITICAL'", "trust", "'Not served over HTTPS'", "scheme <> 'https'"),
+    ("'LOW'", "ai search", "'Missing html lang attribute'", "lang = ''"),
+    ("'MEDIUM'", "on page", "'Duplicate meta description across pages'", "dn > 1"),
+    ("'MEDIUM'", "on page", "'Duplicate title across pages'", "tn > 1"),
+)
+_FOUND = _BASE + ", f AS (SELECT page_id, site, url, template, source, 0 AS r, 'CRITICAL' AS severity, 'crawlability' AS category, 'Page unreachable' AS title, 3 AS effort, 5 AS impact FROM p WHERE status = 0" + "".join(
+    f" UNION ALL SELECT page_id, site, url, template, source, {i + 1}, {sev}, '{cat}', {title}, 0, 0 FROM p WHERE status IS DISTINCT FROM 0 AND ({cond})" for i, (sev, cat, title, cond) in enumerate(_CHECKED)
+) + ")"
+_CATALOGUE = {r[5]: (r[3], r[4]) for r in rules.RULES if r[0] == rules.P and not r[5].startswith("=")}
+_EFFORT = "CASE " + " ".join(f"WHEN title = '{t.replace(chr(39), chr(39) * 2)}' THEN {e}" for t, (_, e) in _CATALOGUE.items()) + " WHEN title LIKE 'Server error%' THEN 3 ELSE 2 END"
+_IMPACT = "CASE " + " ".join(f"WHEN title = '{t.replace(chr(39), chr(39) * 2)}' THEN {i}" for t, (i, _) in _CATALOGUE.items()) + " WHEN title LIKE 'Server error%' THEN 5 ELSE 4 END"
+_ONE = _FOUND + ", d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, category, title ORDER BY page_id, r) AS a FROM f) WHERE a = 1)"
+_SCORES = _ONE + """, w AS (SELECT *, CASE severity WHEN 'CRITICAL' THEN 40 WHEN 'HIGH' THEN 20 WHEN 'MEDIUM' THEN 10 WHEN 'LOW' THEN 4 ELSE 0 END AS w FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY site, category ORDER BY w DESC, title) AS rn FROM w),
+c AS (SELECT site, category, CAST(greatest(0, round_even(100 - sum(w * CASE WHEN rn <= 2 THEN 1.0 WHEN rn <= 4 THEN 0.75 ELSE 0.5 END), 0)) AS INTEGER) AS score, count(*) AS n_findings FROM k GROUP BY 1, 2)"""
+_WEIGHT = "CASE category " + " ".join(f"WHEN '{c}' THEN {w}" for c, w in scoring.CATEGORY_WEIGHTS.items()) + " END"
+_PART = {"scheme": _SCHEME.format("url"), "host": _HOST.format("url"), "path": _PATH.format("url")}
+SQL = {
+    "page_rule_findings": f"WITH {_FOUND} SELECT page_id, severity, category, title FROM f",
+    "category_scores": f"WITH {_SCORES} SELECT * FROM c",
+    "overall_scores": f"WITH {_SCORES} SELECT site, CAST(round_even(100 - CAST(sum((100 - score) * CAST({_WEIGHT} AS DECIMAL(4,2))) AS DOUBLE), 0) AS INTEGER) AS overall FROM c GROUP BY site",
+    "top_priorities": f"""WITH {_ONE}, x AS (SELECT *, list_position(['CRITICAL','HIGH','MEDIUM','LOW','INFO'], severity) AS sr, {_EFFORT} AS e, {_IMPACT} AS im FROM d WHERE severity <> 'INFO'),
+t AS (SELECT *, row_number() OVER (PARTITION BY site, title ORDER BY sr, e, -im, page_id, r) AS b FROM x), y AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY sr, e, -im, page_id, r, title) AS place FROM t WHERE b = 1)
+SELECT site, CAST(place AS INTEGER) AS place, title, category, severity FROM y WHERE place <= 8""",
+    "sweep_summary": f"""WITH {_FOUND}, deep AS (SELECT DISTINCT site, category, title FROM f WHERE source <> 'sweep'), n AS (SELECT site, count(*) AS n_pages FROM p WHERE source = 'sweep' GROUP BY 1),
+o AS (SELECT f.site, f.category, f.title, count(*) AS n, count(DISTINCT template) AS n_templates, first(url ORDER BY page_id, r) AS example, first(severity ORDER BY page_id, r) AS first_severity FROM f ANTI JOIN deep USING (site, category, title) WHERE source = 'sweep' AND severity <> 'INFO' GROUP BY 1, 2, 3)
+SELECT o.*, CASE WHEN n < greatest(2, n_pages * 0.1) AND first_severity = 'HIGH' THEN 'MEDIUM' WHEN n < greatest(2, n_pages * 0.1) AND first_severity = 'MEDIUM' THEN 'LOW' ELSE first_severity END AS severity FROM o JOIN n USING (site)""",
+    "duplicate_titles": f"WITH {_BASE} SELECT site, title, count(*) AS n_pages, min(page_id) AS first_page FROM p WHERE title <> '' GROUP BY 1, 2 HAVING count(*) > 1",
+    "coverage": f"WITH {_BASE}, c AS (SELECT site, template, count(DISTINCT url) AS n_urls, count(DISTINCT CASE WHEN source <> 'sweep' THEN url END) AS n_audited FROM p GROUP BY 1, 2) SELECT *, n_urls >= 5 AND n_audited = 0 AS gap FROM c",
+    "stratified_sample": f"""WITH {_BASE}, i AS (SELECT site, template, page_id, row_number() OVER (PARTITION BY site, template ORDER BY page_id) - 1 AS i, count(*) OVER (PARTITION BY site, template) AS n, min(page_id) OVER (PARTITION BY site, template) AS f FROM p),
+st AS (SELECT DISTINCT site, template, n, f FROM i), rk AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, f) AS rk FROM st), sl AS (SELECT *, unnest(range(0, n)) AS j FROM rk),
+tu AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY j, rk) AS t FROM sl), q AS (SELECT site, template, count(*) AS k FROM tu WHERE t <= 15 GROUP BY 1, 2),
+x AS (SELECT i.*, k FROM i JOIN q USING (site, template))
+SELECT site, template, page_id FROM x WHERE k >= n OR len(list_filter(range(0, k), lambda z: floor(z * (CAST(n AS DOUBLE) / k)) = i)) > 0""",
+    "sitemap_hygiene": f"""WITH {_BASE} SELECT site, count(*) AS sm_checked, count(*) FILTER (status BETWEEN 300 AND 399) AS sm_redirects, count(*) FILTER (status IN (404, 410) OR status >= 500) AS sm_dead, count(*) FILTER (lower(robots) LIKE '%noindex%') AS sm_noindex,
+count(*) FILTER (canonical IS NOT NULL AND rtrim(canonical, '/') <> rtrim(NULLIF(url, ''), '/') AND status = 200) AS sm_noncanonical, count(*) FILTER (status IN (401, 403, 406, 429)) AS refused_pages FROM p GROUP BY 1""",
+    "url_parts": f"""WITH u AS (SELECT page_id, url, canonical, {', '.join(f'{e} AS {n}' for n, e in _PART.items())}, coalesce(regexp_extract(url, '\\?([^#]*)', 1), '') AS query FROM pages WHERE url IS NOT NULL), b AS (SELECT page_id, template, depth FROM (WITH {_BASE} SELECT page_id, template, depth FROM p)),
+h AS (SELECT *, regexp_replace(host, '^www\\.', '') AS bare FROM u), l AS (SELECT *, string_split(bare, '.') AS ls FROM h)
+SELECT page_id, scheme, host, path, query, template, CAST(depth AS INTEGER) AS depth, lower(bare || rtrim(path, '/')) AS norm,
+CASE WHEN len(ls) >= 3 AND len(ls[-1]) = 2 AND ls[-2] IN ({','.join(f"'{x}'" for x in urls.REGISTRABLE_SECOND_LEVEL)}) THEN array_to_string(ls[-3:], '.') ELSE array_to_string(ls[-2:], '.') END AS registrable,
+CASE WHEN len(ls) >= 3 AND len(ls[-1]) = 2 AND ls[-2] IN ({','.join(f"'{x}'" for x in urls.SITE_SECOND_LEVEL)}) THEN ls[-3] WHEN len(ls) >= 2 THEN ls[-2] ELSE ls[1] END AS name,
+regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') AS url_key, bare = regexp_replace({_HOST.format('canonical')}, '^www\\.', '') AS canonical_same_site FROM l JOIN b USING (page_id)""",
+}
