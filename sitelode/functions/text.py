@@ -54,30 +54,36 @@ def tokens(c: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit("([a-z0-9][a-z0-9'+-]*)"), 1)
 
 
-def _no_stop(words: Column) -> Column:
-    return F.size(F.array_intersect(words, F.array(*map(F.lit, STOPWORDS)))) == 0
+def bind(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once: inside a lambda an unbound expression is computed for every element."""
+    return F.transform(F.array(value), f)[0]
 
 
-def _grams(words: Column, n: int) -> Column:
+def _grams(words: Column, n: int, kind: str) -> Column:
     size = F.size(words)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.slice(words, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.slice(words, i, n))).otherwise(F.array().cast(f"array<array<{kind}>>"))
 
 
 def keyphrases(c: str | Column) -> Column:
     """Runs of one to three tokens without stop words: unigrams longer than two that aren't numbers, others of tokens longer than one."""
-    words = tokens(c)
-    long = lambda g: F.forall(g, lambda w: F.length(w) > 1)
-    digits = lambda w: w.rlike("^[0-9]+$")
-    one = F.filter(_grams(words, 1), lambda g: (F.length(g[0]) > 2) & ~digits(g[0]) & _no_stop(g))
-    two = F.filter(_grams(words, 2), lambda g: long(g) & ~F.forall(g, digits) & _no_stop(g))
-    three = F.filter(_grams(words, 3), lambda g: long(g) & _no_stop(g))
-    return F.transform(F.concat(one, two, three), lambda g: F.array_join(g, " "))
+    stop = F.array(*map(F.lit, STOPWORDS))
+    flagged = F.transform(tokens(c), lambda w: F.struct(w.alias("w"), (~F.array_contains(stop, w)).alias("ok"), w.rlike("^[0-9]+$").alias("num"), F.length(w).alias("len")))
+    kind = "struct<w:string,ok:boolean,num:boolean,len:int>"
+
+    def of(words: Column) -> Column:
+        longer = lambda g, n: F.forall(g, lambda x: x["ok"] & (x["len"] > n))
+        one = F.filter(_grams(words, 1, kind), lambda g: longer(g, 2) & ~g[0]["num"])
+        two = F.filter(_grams(words, 2, kind), lambda g: longer(g, 1) & ~F.forall(g, lambda x: x["num"]))
+        three = F.filter(_grams(words, 3, kind), lambda g: longer(g, 1))
+        return F.transform(F.concat(one, two, three), lambda g: F.array_join(F.transform(g, lambda x: x["w"]), " "))
+
+    return bind(flagged, of)
 
 
 def shingles(c: str | Column, k: int = 6) -> Column:
     """Distinct runs of k words."""
     words = F.regexp_extract_all(F.lower(_col(c)), F.lit("([a-z0-9']+)"), 1)
-    return F.array_distinct(F.transform(_grams(words, k), lambda g: F.array_join(g, " ")))
+    return F.array_distinct(bind(words, lambda w: F.transform(_grams(w, k, "string"), lambda g: F.array_join(g, " "))))
 
 
 def sentences(c: str | Column, least_words: int = 12) -> Column:

@@ -1,5 +1,5 @@
 """The modules whose QUERIES and SQL make up the core's queries."""
 
-from sitelode.plans import pages, records, serp
+from sitelode.plans import pages, records, serp, texts
 
-MODULES = [records, serp, pages]
+MODULES = [records, serp, pages, texts]
