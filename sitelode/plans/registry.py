@@ -1,5 +1,5 @@
 """The modules whose QUERIES and SQL make up the core's queries."""
 
-from sitelode.plans import pages, records, serp, texts
+from sitelode.plans import pages, records, serp, site, texts
 
-MODULES = [records, serp, pages, texts]
+MODULES = [records, serp, pages, texts, site]
