@@ -165,7 +165,7 @@ _ABOUT_BEFORE = r"(?:stray|unfilled|unrendered|literal|raw|leftover|left-over|to
 _ABOUT_AFTER = r"(?:tokens?|tags?|placeholders?|variables?|syntax|markers?|costs? you|means?)"
 
 _BEFORE = r"(?:^|[|–—-] |[.!?…)] |。)"
-_AFTER = r"(?: ?\((?:ref|id|code)\.? [\w-]+\))?[.!…]*(?:$| [|–—-] |[.!?…] )"
+_AFTER = r"(?: ?\((?:ref|id|code)\.? [\w-]+\))?[.!…]*(?:$| [|–—-] |[.!…] )"
 #: A residue may run into a sentence without a mark between them.
 _SENTENCE = r"(?: ?\((?:ref|id|code)\.? [\w-]+\))?(?= (?-i:[\p{Lu}\d¿])[^|]{30,}[.?!]$)"
 
