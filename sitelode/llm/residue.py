@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelode.functions.text import bind
+
 #: Names that templates give their slots, fixed values; spaces stand for any of ' ', '_', '.', '-' or nothing.
 SLOT_NAMES = (
     "site name", "site title", "site", "brand", "brand name", "business", "business name", "company", "company name", "product", "product name", "product title",
@@ -188,7 +190,11 @@ def normal(text: Column) -> Column:
 
 def residue_kind(text: Column) -> Column:
     """placeholder, filler, message or notice; null if the text holds none."""
-    t = normal(text)
+    return bind(F.struct(text.alias("raw"), normal(text).alias("t")), _kind)
+
+
+def _kind(x: Column) -> Column:
+    text, t = x["raw"], x["t"]
     code = F.regexp_replace(t, r"`[^`]{1,80}`|<code>.{0,200}?</code>", " ")
     spoken = F.regexp_replace(code, _SPOKEN_OF, " ")
     # What is only spoken of counts after all if it is most of the text.
