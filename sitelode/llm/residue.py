@@ -198,7 +198,9 @@ def _kind(x: Column) -> Column:
     code = F.regexp_replace(t, r"`[^`]{1,80}`|<code>.{0,200}?</code>", " ")
     spoken = F.regexp_replace(code, _SPOKEN_OF, " ")
     # What is only spoken of counts after all if it is most of the text.
-    placeholder = spoken.rlike(_PLACEHOLDER) | (code.rlike(_PLACEHOLDER) & (F.length(spoken) < F.length(t) / 2))
+    # No placeholder is without such a mark, and no notice without such a word.
+    marked, scripted = t.rlike(r"[{\[<%*@_]"), t.rlike("(?i)script|js")
+    placeholder = marked & (spoken.rlike(_PLACEHOLDER) | (code.rlike(_PLACEHOLDER) & (F.length(spoken) < F.length(t) / 2)))
     filler = t.rlike(f"(?iu)(?:{'|'.join(FILLERS[:3])})") | F.lit(False)
     for pattern in FILLERS[3:]:
         filler = filler | t.rlike(f"(?iu){pattern}")
@@ -207,7 +209,7 @@ def _kind(x: Column) -> Column:
         .when(text.rlike(_GHOST), "placeholder")
         .when(t.rlike(_whole(NOTHINGS)) | t.rlike(f"(?iu){REPEATED_NOTHING}"), "placeholder")
         .when(filler | t.rlike(_whole(PROMPTS)), "filler")
-        .when(t.rlike(_whole(NOTICES)), "notice")
+        .when(scripted & t.rlike(_whole(NOTICES)), "notice")
         .when(t.rlike(_whole(MESSAGES)), "message")
     )
 
