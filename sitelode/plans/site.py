@@ -157,4 +157,12 @@ SELECT site, CAST(analysed AS INTEGER) AS analysed, CAST((SELECT count(DISTINCT
 CAST(sum(CASE WHEN NOT n AND event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS impressions_before FROM (SELECT *, CAST(ts AS DATE) >= DATE '2024-01-16' AS n FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-30') GROUP BY 1""",
     "host_variant_impressions": rf"""WITH o AS (SELECT coalesce(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)), '') AS scheme, {_HOST.format('url')} AS host, 'https://' || {_ND} AS site FROM serp_organic WHERE url IS NOT NULL AND domain IS NOT NULL AND trim(domain) <> '')
 SELECT site, scheme, host, count(*) AS impressions FROM o WHERE host <> {_HOST.format('site')} OR scheme <> 'https' GROUP BY ALL""",
+    "category_gaps": f"""WITH r AS (SELECT feed, {_ND} AS site, file_no, report_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS v FROM audit_reports),
+l AS (SELECT feed, site, last(v->'$.scores' ORDER BY file_no, report_id) AS s FROM r WHERE json_type(v->'$.scores') = 'OBJECT' AND site <> '' GROUP BY 1, 2),
+e AS (SELECT feed, site, k AS category, TRY_CAST(json_extract_string(s, '$."' || k || '"') AS INTEGER) AS score FROM (SELECT feed, site, s, unnest(json_keys(s)) AS k FROM l)), x AS (SELECT * FROM e WHERE score IS NOT NULL),
+y AS (SELECT *, (SELECT max(o.score) FROM x o WHERE o.feed = x.feed AND o.category = x.category AND o.site <> x.site) AS best_rival, rank() OVER (PARTITION BY feed, category ORDER BY score DESC) AS rank FROM x)
+SELECT feed, site, category, score, best_rival, score - best_rival AS gap, rank FROM y""",
+    "unique_report_findings": f"""WITH r AS (SELECT feed, {_ND} AS site, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS v FROM audit_reports), f AS (SELECT feed, site, unnest(from_json(v->'$.site_findings', '["JSON"]')) AS x FROM r WHERE json_type(v->'$.site_findings') = 'ARRAY'),
+k AS (SELECT feed, x->>'$.category' AS category, regexp_replace(x->>'$.title', '[0-9]+(?:\\.[0-9]+)?', '#', 'g') AS key, site FROM f)
+SELECT feed, category, key, min(site) AS site FROM k GROUP BY 1, 2, 3 HAVING count(DISTINCT site) = 1""",
 }
