@@ -49,55 +49,77 @@ def _prefix(round_: int, hi: str, lo: str) -> tuple[Column, Column]:
     return F.col(hi), F.shiftrightunsigned(lo, 8 * (12 - round_)) if round_ < 12 else F.col(lo)
 
 
-def _small(df: DataFrame, few: bool, name: str) -> tuple[DataFrame, bool]:
-    """The state of a round without its lineage, and whether any contributor is left to decide."""
-    if few:
-        got = df.collect()  # at most BROADCAST_KEYS rows
-        out = df.sparkSession.createDataFrame(got, df.schema)
-        return F.broadcast(out), any(r["open"] for r in got)
-    out = cut(df, name)
-    return out, not out.where("open").isEmpty()
+#: What the bits of a contributor's records have in common: over scores that aren't null, over ids, and whether some or all scores are null.
+MASKS = ("h_or", "h_and", "l_or", "l_and", "nulls", "scores")
+
+
+def _small(df: DataFrame, few: bool, name: str) -> DataFrame:
+    """The state of a round without its lineage: a local relation of at most BROADCAST_KEYS rows, or a written table."""
+    return F.broadcast(df.sparkSession.createDataFrame(df.toArrow(), df.schema)) if few else cut(df, name)
+
+
+def _constant(round_: int) -> Column:
+    """The round's byte where all agreeing records of a contributor have the same one, else null."""
+    if round_ >= 4:
+        shift = 8 * (11 - round_)
+        same = F.shiftrightunsigned(F.col("l_or").bitwiseXOR(F.col("l_and")), shift).bitwiseAND(F.lit(255)) == 0
+        return F.when(same, F.shiftrightunsigned("l_and", shift).bitwiseAND(F.lit(255)))
+    shift = 8 * (3 - round_)
+    same = F.shiftrightunsigned(F.col("h_or").bitwiseXOR(F.col("h_and")), shift).bitwiseAND(F.lit(255)) == 0
+    own = F.when(same, F.shiftrightunsigned("h_and", shift).bitwiseAND(F.lit(255)))
+    if round_ == 0:
+        return F.when(F.col("scores") == 0, 256).when(F.col("nulls") == 0, own)
+    return F.when(F.col("hi0") >= F.lit(2**32), 0).otherwise(own)
+
+
+def _placed(round_: int, digit: Column) -> tuple[Column, Column]:
+    """hi0 and lo0 with the round's byte set."""
+    shift = F.lit(8 * (3 - round_)) if round_ < 4 else F.lit(8 * (11 - round_))
+    bits = F.call_function("shiftleft", digit.cast("long"), shift)
+    return (F.col("hi0").bitwiseOR(bits), F.col("lo0")) if round_ < 4 else (F.col("hi0"), F.col("lo0").bitwiseOR(bits))
 
 
 def cutoffs(rows: DataFrame, cap: int, n_rows: int) -> DataFrame:
     """k, cut_hi, cut_lo: the last record kept of each contributor with more than ``cap`` records.
 
-    ``rows`` has k, hi and lo of :func:`encoded`.
+    ``rows`` has k, hi and lo of :func:`encoded`. A byte that all agreeing records share needs no round.
     """
     few = n_rows // max(cap, 1) <= BROADCAST_KEYS
     named = rows.where("k is not null")
-    sizes = named.groupBy("k").agg(F.count("*").alias("n"), F.min("hi").alias("a"), F.max("hi").alias("b")).where(F.col("n") > cap)
-    # Bytes of the score that are the same in all records need no round.
-    state, left = _small(sizes.select("k", F.lit(cap).cast("long").alias("need"), F.lit(0).cast("long").alias("hi0"), F.lit(0).cast("long").alias("lo0"), F.lit(True).alias("open"), "a", "b"), few, "cap-0")
-    own = cut(named.join(state.select("k"), "k"), "cap-rows") if left else named
+    scored = F.when(F.col("hi") < F.lit(2**32), F.col("hi"))
+    sizes = named.groupBy("k").agg(
+        F.count("*").alias("n"), F.coalesce(F.bit_or(scored), F.lit(0)).alias("h_or"), F.coalesce(F.bit_and(scored), F.lit(0)).alias("h_and"), F.bit_or("lo").alias("l_or"), F.bit_and("lo").alias("l_and"),
+        F.count_if(scored.isNull()).alias("nulls"), F.count(scored).alias("scores"),
+    ).where(F.col("n") > cap)
+    zero = F.lit(0).cast("long")
+    state = _small(sizes.select("k", F.lit(cap).cast("long").alias("need"), zero.alias("hi0"), zero.alias("lo0"), F.lit(True).alias("open"), *MASKS), few, "cap-0")
+
+    def left(condition: Column) -> bool:
+        return not state.where(F.col("open") & condition).isEmpty()
+
+    own = cut(named.join(state.select("k"), "k"), "cap-rows") if left(F.lit(True)) else named
     for round_ in range(BYTES):
-        if not left:
-            break
+        if not left(_constant(round_).isNull()):
+            if not left(F.lit(True)):
+                break
+            hi, lo = _placed(round_, _constant(round_))
+            state = state.select("k", "need", F.when(F.col("open"), hi).otherwise(F.col("hi0")).alias("hi0"), F.when(F.col("open"), lo).otherwise(F.col("lo0")).alias("lo0"), "open", *MASKS)
+            state = F.broadcast(state) if few else state
+            continue
         hi0, lo0 = _prefix(round_, "hi0", "lo0")
         hi, lo = _prefix(round_, "hi", "lo")
         agree = own.join(state.where("open").select("k", "hi0", "lo0"), "k").where((hi == hi0) & (lo == lo0))
         counts = agree.groupBy("k", _byte(round_).alias("d")).agg(F.count("*").alias("c"))
         up = Window.partitionBy("k").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
         chosen = counts.withColumn("upto", F.sum("c").over(up)).join(state.where("open"), "k").where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("c") < F.col("need")))
-        shift = F.lit(8 * (3 - round_)) if round_ < 4 else F.lit(8 * (11 - round_))
-        placed = F.call_function("shiftleft", F.col("d").cast("long"), shift)
-        new_hi = F.col("hi0").bitwiseOR(placed) if round_ < 4 else F.col("hi0")
-        new_lo = F.col("lo0") if round_ < 4 else F.col("lo0").bitwiseOR(placed)
+        new_hi, new_lo = _placed(round_, F.col("d"))
         need = F.col("need") - (F.col("upto") - F.col("c"))
         # All records of the byte are kept: the cutoff is the largest one that agrees.
         full = need == F.col("c")
         below = 2 ** (8 * (3 - round_)) - 1 if round_ < 4 else 0
         lo_below = -1 if round_ < 4 else (1 << (8 * (11 - round_))) - 1
-        done = chosen.select(
-            "k",
-            need.alias("need"),
-            F.when(full, new_hi.bitwiseOR(F.lit(below))).otherwise(new_hi).alias("hi0"),
-            F.when(full, new_lo.bitwiseOR(F.lit(lo_below))).otherwise(new_lo).alias("lo0"),
-            (~full).alias("open"),
-            F.lit(None).cast("long").alias("a"),
-            F.lit(None).cast("long").alias("b"),
-        )
-        state, left = _small(state.where("not open").unionByName(done), few, f"cap-{round_ + 1}")
+        done = chosen.select("k", need.alias("need"), F.when(full, new_hi.bitwiseOR(F.lit(below))).otherwise(new_hi).alias("hi0"), F.when(full, new_lo.bitwiseOR(F.lit(lo_below))).otherwise(new_lo).alias("lo0"), (~full).alias("open"), *MASKS)
+        state = _small(state.where("not open").unionByName(done), few, f"cap-{round_ + 1}")
     out = state.select("k", F.col("hi0").alias("cut_hi"), F.col("lo0").alias("cut_lo"))
     return F.broadcast(out) if few else out
 
