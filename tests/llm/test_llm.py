@@ -80,8 +80,7 @@ def test_a_hot_group_of_copies(spark):
 # -- capping
 
 
-@pytest.mark.parametrize("few", [10_000, 0])
-@pytest.mark.parametrize("cap", [1, 7, 40])
+@pytest.mark.parametrize("few,cap", [(10_000, 1), (10_000, 40), (0, 7)])
 def test_caps_match_brute_force(spark, monkeypatch, few, cap):
     monkeypatch.setattr(capping, "BROADCAST_KEYS", few)
     random.seed(cap)
