@@ -261,16 +261,17 @@ def test_found_spans_are_true_and_texts_are_redacted(spark):
         assert clean[i] == (None if t is None else want + t[at:])
 
 
-def test_estimation_finds_the_bad_labeler():
+def test_estimation_finds_the_bad_labelers():
+    """Three informative labelers are the least that tell their own reliabilities; two of five guess."""
     import numpy as np
 
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.4
-    flip = lambda p: np.where(rng.random(4000) < p, truth, ~truth) * 2 - 1
-    votes = np.stack([flip(0.95), flip(0.9), flip(0.55)], 1)
+    votes = np.stack([np.where(rng.random(4000) < p, truth, ~truth) * 2 - 1 for p in (0.92, 0.88, 0.85, 0.5, 0.5)], 1)
     patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    p = personal.estimate(patterns.astype(float), counts.astype(float))
-    assert ((p[back.ravel()] > 0.5) == truth).mean() > 0.93
+    p = personal.estimate(patterns.astype(float), counts.astype(float))[back.ravel()]
+    majority = ((votes.sum(1) > 0) == truth).mean()
+    assert ((p > 0.5) == truth).mean() > majority + 0.05
 
 
 def test_no_texts_no_names(spark):
