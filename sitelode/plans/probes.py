@@ -27,9 +27,9 @@ DAYS = (-3, 0, 14, 15, 30, 31, 90)
 
 def agent_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each agent gets at the edge, over two URLs."""
-    e = table(spark, sf_dir, "events").where("event_id % 50 < 2")
-    k = F.floor(F.col("event_id") / 50)
-    probes = e.select(F.pmod(k, F.lit(40)).alias("site"), F.concat(F.lit("agent-"), F.floor(k / 40)).alias("agent"), _pick(k, ROLES).alias("role"), F.pmod("event_id", F.lit(50)).cast("int").alias("url_no"), _pick(F.col("event_id"), STATUSES).alias("status"), (F.pmod("event_id", F.lit(11)) == 0).alias("mitigated"))
+    e = table(spark, sf_dir, "events")
+    k = F.expr("event_id div 2")
+    probes = e.select(F.pmod(k, F.lit(40)).alias("site"), F.concat(F.lit("agent-"), F.floor(k / 40)).alias("agent"), _pick(k, ROLES).alias("role"), F.pmod("event_id", F.lit(2)).cast("int").alias("url_no"), _pick(F.col("event_id"), STATUSES).alias("status"), (F.pmod("event_id", F.lit(11)) == 0).alias("mitigated"))
     return captures.agent_verdicts(probes)
 
 

@@ -1,0 +1,41 @@
+"""Queries against counts over whole tables, without their SQL."""
+
+from collections import Counter, defaultdict
+
+from sitelode.plans import probes
+
+
+def column(spark, small, name, *cols):
+    return [tuple(r) for r in spark.read.parquet(f"{small}/{name}.parquet").select(*cols).collect()]
+
+
+def _matrix(spark, small):
+    """Every event is a probe: two URLs of an agent."""
+    seen = defaultdict(list)
+    for (i,) in sorted(column(spark, small, "events", "event_id")):
+        status = probes.STATUSES[i % len(probes.STATUSES)]
+        seen[i // 2].append("pay per crawl" if status == 402 else "challenged" if i % 11 == 0 else "ok" if 200 <= status <= 399 else "refused" if status in (401, 403, 406, 429, 503) else "no answer")
+    for k, got in seen.items():
+        bad = [v for v in got if v != "ok"]
+        yield k % 40, f"agent-{k // 40}", probes.ROLES[k % 3], "ok" if not bad else bad[0] if len(bad) == len(got) else bad[0] + " on some pages"
+
+
+def test_agent_matrix_reads_every_event(spark, small):
+    got = probes.agent_matrix(spark, small).select("site", "agent", "role", "verdict").collect()
+    assert Counter(map(tuple, got)) == Counter(_matrix(spark, small))
+
+
+def test_agent_findings_follow_from_every_event(spark, small):
+    sites = defaultdict(Counter)
+    for site, _, role, verdict in _matrix(spark, small):
+        sites[site]["ok" if verdict == "ok" else "other" if verdict not in ("refused", "challenged", "pay per crawl") else "train" if role == "train" else "answer"] += 1
+    want = Counter()
+    for site, c in sites.items():
+        if not c["ok"]:
+            want[site, "MEDIUM", "Site refuses every non-browser user-agent we tried"] += 1
+        elif c["answer"]:
+            want[site, "HIGH", "AI search / assistant crawlers are refused at the edge"] += 1
+        elif c["train"]:
+            want[site, "MEDIUM", "AI training crawlers are refused at the edge"] += 1
+    got = probes.agent_findings(spark, small).select("site", "severity", "title").collect()
+    assert Counter(map(tuple, got)) == want
