@@ -19,6 +19,9 @@ STOPWORDS = tuple(
     com www http https i'm it's we're you're don't your you they're new use using used make makes made one two three set let see way ways thing things lot like want need know""".split()
 )
 
+#: Scripts that write words without spaces, as a character class.
+SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -86,6 +89,14 @@ def shingles(c: str | Column, k: int = 6) -> Column:
     return F.array_distinct(bind(words, lambda w: F.transform(_grams(w, k, "string"), lambda g: F.array_join(g, " "))))
 
 
+def any_shingles(c: str | Column, k: int = 6) -> Column:
+    """Distinct runs of k words of any script, characters where a script has no spaces; a shorter text's words, or the text itself if it has none. Empty for null and blank."""
+    t = collapse(c)
+    words = F.regexp_extract_all(F.lower(_col(c)), F.lit(rf"([{SPACELESS}]|[\p{{L}}\p{{M}}\p{{N}}'&&[^{SPACELESS}]]+)"), 1)
+    runs = lambda w: F.transform(_grams(w, k, "string"), lambda g: F.array_join(g, " "))
+    return F.array_distinct(bind(words, lambda w: F.when(F.size(w) >= k, runs(w)).when(F.size(w) > 0, w).when(t != "", F.array(t)).otherwise(F.array().cast("array<string>"))))
+
+
 def sentences(c: str | Column, least_words: int = 12) -> Column:
     """Sentences of so many words at least."""
     return F.filter(F.split(_col(c), r"(?<=[.!?])\s+"), lambda s: F.size(F.split(F.trim(F.regexp_replace(s, r"\s+", " ")), " ")) >= least_words)

@@ -58,6 +58,12 @@ def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("source").alias("site"), F.coalesce("lang", F.lit("")).alias("lang"), "doc_id", text.shingles("text", SHINGLE_WORDS).alias("s"), text.word_count("text").alias("words")).where("words >= 80")
 
 
+def _all_shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, without the audit rule's length; those without a source or language are groups of their own."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.coalesce("source", F.lit("")).alias("site"), F.coalesce("lang", F.lit("")).alias("lang"), "doc_id", text.any_shingles("text", SHINGLE_WORDS).alias("s"))
+
+
 def shingle_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many texts of a group a shingle stands, for those in two or more."""
     each = _shingled(spark, sf_dir).select("site", "lang", F.explode("s").alias("shingle"))
@@ -66,13 +72,13 @@ def shingle_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate pairs of distinct texts of a group, by the least id of each."""
-    _, reps = near.classes(_shingled(spark, sf_dir), ["site", "lang"], "doc_id", "s")
+    _, reps = near.classes(_all_shingled(spark, sf_dir), ["site", "lang"], "doc_id", "s")
     return near.similar_classes(reps, ["site", "lang"], NEAR).withColumn("similarity", F.round("similarity", 6))
 
 
 def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text with its class (the least id of equal shingle sets) and the class's links."""
-    members, reps = near.classes(_shingled(spark, sf_dir), ["site", "lang"], "doc_id", "s")
+    """Every document with its class (the least id of equal shingle sets, null and blank texts of a group being one) and the class's links."""
+    members, reps = near.classes(_all_shingled(spark, sf_dir), ["site", "lang"], "doc_id", "s")
     pairs = near.similar_classes(reps, ["site", "lang"], NEAR)
     links = pairs.select("site", "lang", F.col("a").alias("class_id")).union(pairs.select("site", "lang", F.col("b").alias("class_id"))).groupBy("site", "lang", "class_id").agg(F.count("*").alias("n_links"))
     return members.join(links, ["site", "lang", "class_id"], "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -1,8 +1,10 @@
 """Queries against counts over whole tables, without their SQL."""
 
+import itertools
+import unicodedata
 from collections import Counter, defaultdict
 
-from sitelode.plans import probes
+from sitelode.plans import probes, texts
 
 
 def column(spark, small, name, *cols):
@@ -39,3 +41,51 @@ def test_agent_findings_follow_from_every_event(spark, small):
             want[site, "MEDIUM", "AI training crawlers are refused at the edge"] += 1
     got = probes.agent_findings(spark, small).select("site", "severity", "title").collect()
     assert Counter(map(tuple, got)) == want
+
+
+def _shingle_set(text, k=6):
+    """Runs of words or, in scripts without spaces, characters; a shorter text's words; the text itself if it has none."""
+    words, word = [], ""
+    for c in (text or "").lower() + " ":
+        alone = any(unicodedata.name(c, "").startswith(x) for x in ("CJK UNIFIED", "HIRAGANA LETTER", "KATAKANA LETTER", "IDEOGRAPHIC ITERATION", "THAI"))
+        if alone or not (unicodedata.category(c)[0] in "LMN" or c == "'"):
+            words += [word] * bool(word) + [c] * alone
+            word = ""
+        else:
+            word += c
+    if len(words) >= k:
+        return frozenset(" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
+    return frozenset(words) or frozenset(filter(None, [" ".join((text or "").split())]))
+
+
+def _near(docs):
+    """doc_id, class_id, n_links of every document, and the similar classes."""
+    groups = defaultdict(lambda: defaultdict(list))
+    for i, text, lang, source in docs:
+        groups[source or "", lang or ""][_shingle_set(text)].append(i)
+    classes, pairs = Counter(), Counter()
+    for (site, lang), sets in groups.items():
+        ids, links = {s: min(x) for s, x in sets.items()}, Counter()
+        for a, b in itertools.combinations(sorted(filter(None, ids), key=ids.get), 2):
+            if (similarity := len(a & b) / len(a | b)) >= 0.8:
+                pairs[site, lang, ids[a], ids[b], round(similarity, 6)] += 1
+                links.update([a, b])
+        classes.update((i, ids[s], links[s]) for s, x in sets.items() for i in x)
+    return classes, pairs
+
+
+DOCS = [
+    (1, "Open daily from nine", "en", "a.test"), (2, "Open daily from nine!", "en", "a.test"), (3, "Open daily from nine please", "en", "a.test"), (4, None, "en", "a.test"), (5, " ", "en", "a.test"), (6, "?!", "en", "a.test"),
+    (7, "Geöffnet über Ostern", "de", None), (8, "geöffnet über ostern", "de", None), (9, "Geschlossen über Ostern", "de", None), (10, "当店は毎日午前九時から午後六時まで営業しております。", "ja", "a.test"), (11, "当店は毎日午前九時から午後六時まで営業しております", "ja", "a.test"),
+    (12, "当店は毎日午前九時から午後六時まで営業しておりますよ", "ja", "a.test"), (13, "定休日", "ja", None), (14, "定休日です", "ja", None), (15, None, None, None),
+]
+
+
+def test_every_document_has_a_class(spark, small, tmp_path):
+    spark.createDataFrame(DOCS, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in texts.near_duplicate_classes(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 0), 5: (4, 0), 6: (6, 0), 7: (7, 0), 8: (7, 0), 9: (9, 0), 10: (10, 1), 11: (10, 1), 12: (12, 1), 13: (13, 0), 14: (14, 0), 15: (15, 0)}
+    for d in (str(tmp_path), small):
+        classes, pairs = _near(column(spark, d, "documents", "doc_id", "text", "lang", "source"))
+        assert Counter(map(tuple, texts.near_duplicate_classes(spark, d).select("doc_id", "class_id", "n_links").collect())) == classes
+        assert Counter(map(tuple, texts.near_duplicate_pairs(spark, d).select("site", "lang", "a", "b", "similarity").collect())) == pairs
