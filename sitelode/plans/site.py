@@ -81,14 +81,14 @@ def canonical_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def affiliate_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of pages with affiliate links, on links derived from orders."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_orderkey").alias("page_id"), F.lit(200).alias("status"), "l_partkey", "l_linenumber")
+    """Share of pages with affiliate links; every line item is a link of its supplier's page."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_orderkey").alias("page_id"), F.lit(200).alias("status"), "l_partkey")
     k = F.col("l_partkey")
     link = (
         F.when(k % 7 == 0, F.concat(F.lit("https://www.amazon.test/dp/"), k, F.lit("?tag=x"))).when(k % 7 == 1, F.lit("https://www.awin1.com/c?m=1")).when(k % 7 == 2, F.concat(F.lit("https://shop.test/?irclickid="), k))
         .when(k % 7 == 3, F.concat(F.lit("https://www.viator.com/x?pid=P"), k)).otherwise(F.concat(F.lit("https://plain.test/"), k))
     )
-    return captures.affiliate_facts(l.withColumn("url", link).where("l_linenumber = 1"))
+    return captures.affiliate_facts(l.withColumn("url", link))
 
 
 def _report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import itertools
 import unicodedata
 from collections import Counter, defaultdict
 
-from sitelode.plans import probes, texts
+from sitelode.plans import probes, site, texts
 
 
 def column(spark, small, name, *cols):
@@ -89,3 +89,25 @@ def test_every_document_has_a_class(spark, small, tmp_path):
         classes, pairs = _near(column(spark, d, "documents", "doc_id", "text", "lang", "source"))
         assert Counter(map(tuple, texts.near_duplicate_classes(spark, d).select("doc_id", "class_id", "n_links").collect())) == classes
         assert Counter(map(tuple, texts.near_duplicate_pairs(spark, d).select("site", "lang", "a", "b", "similarity").collect())) == pairs
+
+
+def test_affiliate_share_reads_every_link(spark, small):
+    pages, tracked = defaultdict(set), defaultdict(lambda: defaultdict(set))
+    for supplier, order, part in column(spark, small, "lineitem", "l_suppkey", "l_orderkey", "l_partkey"):
+        pages[supplier].add(order)
+        if part % 7 < 4:
+            tracked[supplier]["network" if part % 7 == 1 else part].add(order)
+    want = Counter((s, len(n), len(set().union(*(o for o in tracked[s].values() if len(o) <= len(n) * 0.5)))) for s, n in pages.items())
+    got = site.affiliate_share(spark, small).select("site", "analysed", "affiliate_pages").collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_head_parity_reads_every_capture(spark, small):
+    worst = defaultdict(lambda: [0, 0])
+    for order, line, part in column(spark, small, "lineitem", "l_orderkey", "l_linenumber", "l_partkey"):
+        w = worst[order]
+        w[line % 2 == 0] = max(w[line % 2 == 0], (200, 200, 405, 404)[part % 4])
+    want = Counter()
+    for order, (get, head) in worst.items():
+        want[order % 200] += get == 200 and head >= 400
+    assert {r["site"]: r["head_failures"] for r in probes.head_parity(spark, small).collect()} == dict(want)
