@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/sitelode/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
@@ -35,9 +42,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     that use it several times do not repeat the work. The table is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sitelode/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
