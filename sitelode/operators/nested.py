@@ -124,7 +124,7 @@ def flatten_nested(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
                 return pa.RecordBatch.from_arrays([ids, _strings(tags, lost), pa.array(kinds, pa.string()), _strings(paths, lost), _strings(parents, lost), pa.array(places, pa.int32()), _strings(payloads, kept)], schema.names)
 
             for i, text in enumerate(batch.column(1).to_pylist()):
-                ok, value = whole_value(text)
+                ok, value = whole_value(text, halves=True)
                 if not ok:
                     continue
                 for *row, values in visit(value):

@@ -39,21 +39,16 @@ def p2_local_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.typed_table(rows.where("row_kind = 'object'"), PLACES, columns).withColumnsRenamed({"gps.lat": "lat", "gps.lng": "lng"})
 
 
-def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = drift.file_fields(table(spark, sf_dir, "serp_raw"), "place")
-    reports = drift.file_fields(table(spark, sf_dir, "audit_reports"), "report")
-    return places.unionByName(reports)
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list of changes of both sources."""
-    return drift.changes(_fields(spark, sf_dir))
+    both = [drift.changes(drift.compared(drift.file_summaries(table(spark, sf_dir, name), kind))) for name, kind in (("serp_raw", "place"), ("audit_reports", "report"))]
+    return both[0].unionByName(both[1])
 
 
 def _consistent(spark: SparkSession, sf_dir: str, name: str, kind: str, key: str) -> DataFrame:
     df = table(spark, sf_dir, name)
-    fields = cut(drift.file_fields(df, kind), f"fields-{kind}")
-    return drift.consistent_table(df, kind, drift.union_schema(fields, drift.changes(fields)), key)
+    seen = cut(drift.compared(drift.file_summaries(df, kind), fields=True), f"fields-{kind}")
+    return drift.consistent_table(df, kind, drift.union_schema(seen), key)
 
 
 def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:

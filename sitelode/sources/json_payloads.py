@@ -75,21 +75,30 @@ def _deep(text: str):
             return root[0]
 
 
-def whole_value(text: str | None):
+#: Escapes one by one: a surrogate pair, half of one, any other.
+_ESCAPE = re.compile(r"\\(?:(u[dD][89abAB]\w\w\\u[dD][c-fC-F]\w\w)|(u[dD][89a-fA-F]\w\w)|.)", re.S)
+_HALVES = re.compile(r"\\u[dD][89a-fA-F]")
+
+
+def whole_value(text: str | None, *, halves: bool = False):
     """(True, value) when ``text`` is exactly one JSON value (RFC 8259), else (False, None).
 
     A byte order mark before the value is ignored. ``NaN`` and ``Infinity`` are no JSON. Of repeated
-    members the last counts. Nesting is bounded by memory alone.
+    members the last counts. Nesting is bounded by memory alone. Half of a surrogate pair, which no
+    column can hold, becomes U+FFFD unless ``halves`` are asked for.
     """
     if text is None:
         return False, None
+    text = text.lstrip("\ufeff")
+    if not halves and _HALVES.search(text):
+        text = _ESCAPE.sub(lambda m: "\\ufffd" if m.group(2) else m.group(), text)
     try:
-        return True, json.loads(text.lstrip("﻿"), parse_constant=_no_constant)
+        return True, json.loads(text, parse_constant=_no_constant)
     except RecursionError:
         pass
     except ValueError:
         return False, None
     try:
-        return True, _deep(text.lstrip("﻿"))
+        return True, _deep(text)
     except ValueError:
         return False, None

@@ -86,7 +86,7 @@ def test_no_value_is_lost(spark, small):
     raw = [(r["raw_id"], r["payload"]) for r in spark.read.parquet(f"{small}/serp_raw.parquet").collect()] + [(10**6 + i, p) for i, p in enumerate(PAYLOADS + ODD)]
     rows = nested.flatten_nested(spark.createDataFrame(raw, "id long, body string"), "id", "body").collect()
     got = sorted((r["id"], json.dumps(v, ensure_ascii=False)) for r in rows for v in json.loads(r["payload"]).values())
-    assert got == sorted((i, v) for i, p in raw if whole_value(p)[0] and whole_value(p)[1] != {} for v in leaves(whole_value(p)[1]))
+    assert got == sorted((i, v) for i, p in raw if whole_value(p)[0] and whole_value(p)[1] != {} for v in leaves(whole_value(p, halves=True)[1]))
     assert {r["id"] for r in rows if r["row_kind"] == "root"} == {i for i, p in raw if whole_value(p)[0]}
 
 
@@ -116,3 +116,7 @@ def test_tables_are_written_by_tag(spark, tmp_path):
     back = nested.write_tables(rows, f"{tmp_path}/t")
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
     assert "PartitionFilters: [isnotnull(table_tag" in back.where("table_tag = '$'")._jdf.queryExecution().toString()
+
+
+def test_halves_of_pairs_are_mended():
+    assert whole_value('["\\ud83d\\ude00\\ud83d","\\\\ud800",1]') == (True, ["😀�", "\\ud800", 1])
