@@ -1,141 +1,164 @@
 """Caps the records of each contributor, the best ones by score kept.
 
-Radix selection. Score and identifier are encoded as order-preserving bytes. For each contributor above the
-cap, records are counted by contributor and byte, the byte that holds the cap-th record is fixed, and the next
-byte is counted among the records that agree so far, until the remaining records are all kept; every record is
-then kept or left out by comparing its bytes with its contributor's cutoff. No contributor is ever sorted or
-gathered: each round is one map-side combined count of at most 256 rows a contributor.
-
-Contributors above the cap number at most rows / cap. Up to ``BROADCAST_KEYS`` of them (always so for a cap
-that is a share of the rows) their cutoffs are broadcast; beyond, cutoffs stay a table and are joined by key.
-
-Defined cases: records without contributor (null) are never left out; scores that are null, or that the caller
-maps to null, come last; ties go to the smaller id; repeated rows with unique ids each count; an empty table
-gives no rows; a cap of 0 leaves out all records with a contributor.
+Radix selection. Score and identifier are encoded as order-preserving bytes, in words of eight. For each
+contributor above the cap, records are counted by contributor and byte, the byte that holds the cap-th record is
+fixed, only the records that have it are looked at again, and their next byte is counted, until the remaining
+records are all kept; every record is then kept or left out by comparing its words with its contributor's cutoff.
+No contributor is ever sorted or gathered: each round is one map-side combined count of at most 256 rows a
+contributor, over the records that agree so far. A byte that all of a contributor's records share needs no round.
+
+Contributors with more than a ``BROADCAST_KEYS``-th of all rows number less than that: their cutoffs are broadcast,
+so the records of a contributor that holds a third of the table stay where they are. The others, if the cap is below
+that share, meet their cutoffs by a join on the contributor, each of them being bounded by that share.
+
+Defined cases: records without contributor (null) are never left out; scores that are null come last, NaN right
+before them; -0.0 is 0.0; ties go to the smaller id; ids may be numbers, dates, times, strings or binaries, texts
+being ordered by their UTF-8 bytes, and by a 128-bit hash where their first ``TEXT_BYTES`` agree; repeated rows with
+unique ids each count; an empty table gives no rows; a cap of 0 leaves out all records with a contributor.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sitelode.session import cut
 
-#: Cutoffs for up to so many contributors are broadcast (some 40 bytes each).
+#: Cutoffs of contributors above this share of the rows (one in so many) are broadcast, at most as many (some 200 bytes each).
 BROADCAST_KEYS = 10_000
+#: Bytes of a text that are compared one by one.
+TEXT_BYTES = 64
 _SIGN = -(2**63)
-BYTES = 12
 
 
-def encoded(key: Column, score: Column, id_: Column) -> list[Column]:
-    """key, hi, lo: 4 bytes of the ascending integer score (null last) and 8 bytes of the id, as unsigned numbers."""
-    hi = F.coalesce(score.cast("long") + F.lit(2**31), F.lit(2**32))
-    return [key.alias("k"), hi.alias("hi"), id_.cast("long").bitwiseXOR(F.lit(_SIGN)).alias("lo")]
-
-
-def _byte(round_: int) -> Column:
-    """The round's byte; the first one may be 256, for null scores."""
-    if round_ < 4:
-        digit = F.shiftrightunsigned("hi", 8 * (3 - round_))
-        return digit if round_ == 0 else digit.bitwiseAND(F.lit(255))
-    return F.shiftrightunsigned("lo", 8 * (11 - round_)).bitwiseAND(F.lit(255))
-
-
-def _prefix(round_: int, hi: str, lo: str) -> tuple[Column, Column]:
-    """What the bytes before the round leave of hi and lo."""
-    if round_ <= 4:
-        return F.shiftrightunsigned(hi, 8 * (4 - round_)) if round_ else F.lit(0), F.lit(0)
-    return F.col(hi), F.shiftrightunsigned(lo, 8 * (12 - round_)) if round_ < 12 else F.col(lo)
-
-
-#: What the bits of a contributor's records have in common: over scores that aren't null, over ids, and whether some or all scores are null.
-MASKS = ("h_or", "h_and", "l_or", "l_and", "nulls", "scores")
-
-
-def _small(df: DataFrame, few: bool, name: str) -> DataFrame:
-    """The state of a round without its lineage: a local relation of at most BROADCAST_KEYS rows, or a written table."""
-    return F.broadcast(df.sparkSession.createDataFrame(df.toArrow(), df.schema)) if few else cut(df, name)
-
-
-def _constant(round_: int) -> Column:
-    """The round's byte where all agreeing records of a contributor have the same one, else null."""
-    if round_ >= 4:
-        shift = 8 * (11 - round_)
-        same = F.shiftrightunsigned(F.col("l_or").bitwiseXOR(F.col("l_and")), shift).bitwiseAND(F.lit(255)) == 0
-        return F.when(same, F.shiftrightunsigned("l_and", shift).bitwiseAND(F.lit(255)))
-    shift = 8 * (3 - round_)
-    same = F.shiftrightunsigned(F.col("h_or").bitwiseXOR(F.col("h_and")), shift).bitwiseAND(F.lit(255)) == 0
-    own = F.when(same, F.shiftrightunsigned("h_and", shift).bitwiseAND(F.lit(255)))
-    if round_ == 0:
-        return F.when(F.col("scores") == 0, 256).when(F.col("nulls") == 0, own)
-    return F.when(F.col("hi0") >= F.lit(2**32), 0).otherwise(own)
-
-
-def _placed(round_: int, digit: Column) -> tuple[Column, Column]:
-    """hi0 and lo0 with the round's byte set."""
-    shift = F.lit(8 * (3 - round_)) if round_ < 4 else F.lit(8 * (11 - round_))
-    bits = F.call_function("shiftleft", digit.cast("long"), shift)
-    return (F.col("hi0").bitwiseOR(bits), F.col("lo0")) if round_ < 4 else (F.col("hi0"), F.col("lo0").bitwiseOR(bits))
-
-
-def cutoffs(rows: DataFrame, cap: int, n_rows: int) -> DataFrame:
-    """k, cut_hi, cut_lo: the last record kept of each contributor with more than ``cap`` records.
-
-    ``rows`` has k, hi and lo of :func:`encoded`. A byte that all agreeing records share needs no round.
-    """
-    few = n_rows // max(cap, 1) <= BROADCAST_KEYS
-    named = rows.where("k is not null")
-    scored = F.when(F.col("hi") < F.lit(2**32), F.col("hi"))
-    sizes = named.groupBy("k").agg(
-        F.count("*").alias("n"), F.coalesce(F.bit_or(scored), F.lit(0)).alias("h_or"), F.coalesce(F.bit_and(scored), F.lit(0)).alias("h_and"), F.bit_or("lo").alias("l_or"), F.bit_and("lo").alias("l_and"),
-        F.count_if(scored.isNull()).alias("nulls"), F.count(scored).alias("scores"),
-    ).where(F.col("n") > cap)
+def _unsigned(ordered: Column) -> Column:
+    """The bits of a long, so that the order of longs is the order of their unsigned bytes."""
+    return ordered.cast("long").bitwiseXOR(F.lit(_SIGN))
+
+
+def words(value: Column, kind: T.DataType) -> list[Column]:
+    """Longs whose unsigned bytes, one after the other, have the value's order; null is encoded as its type's zero."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        # The bits of a double have its order, those of negative ones the reverse. Adding 0.0 makes -0.0 the same as 0.0.
+        bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.coalesce(value.cast("double") + F.lit(0.0), F.lit(0.0))).cast("long")
+        return [_unsigned(F.when(bits < 0, F.bitwise_not(bits).bitwiseXOR(F.lit(_SIGN))).otherwise(bits))]
+    if isinstance(kind, T.DecimalType):
+        # All digits, scale included, as 2 + 18 + 18 of them.
+        digits = F.lpad(F.replace(F.abs(value).cast(T.DecimalType(38, kind.scale)).cast("string"), F.lit("."), F.lit("")), 38, "0")
+        parts = [F.coalesce(F.substring(digits, a, n).cast("long"), F.lit(0)) for a, n in ((1, 2), (3, 18), (21, 18))]
+        return [_unsigned(F.when(value < 0, -p).otherwise(p)) for p in parts]
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        data = F.coalesce(value.cast("binary"), F.lit(b""))
+        word = lambda i: F.conv(F.rpad(F.hex(F.substring(data, 8 * i + 1, 8)), 16, "0"), 16, -10).cast("long")
+        beyond = F.when(F.octet_length(data) > TEXT_BYTES, F.xxhash64(data)), F.when(F.octet_length(data) > TEXT_BYTES, F.xxhash64(F.lit(0x5EED), data))
+        return [*(word(i) for i in range(TEXT_BYTES // 8)), _unsigned(F.least(F.octet_length(data), F.lit(TEXT_BYTES + 1))), *(F.coalesce(h, F.lit(0).cast("long")) for h in beyond)]
+    if isinstance(kind, T.TimestampType):
+        return [_unsigned(F.coalesce(F.unix_micros(value), F.lit(0)))]
+    if isinstance(kind, T.DateType):
+        return [_unsigned(F.coalesce(F.unix_date(value), F.lit(0)))]
+    return [_unsigned(F.coalesce(value.cast("long"), F.lit(0)))]
+
+
+def encoded(df: DataFrame, key: Column, score: Column, id_col: str, *, best: str = "low") -> tuple[DataFrame, int]:
+    """(k, w0, w1, ..., id) of each record, and the number of words: null scores last, then the score, then the id."""
+    kinds = df.select(score.alias("s"), F.col(id_col).alias("i")).schema
+    own = df.select(key.alias("k"), score.alias("_s"), F.col(id_col).alias("id"))
+    value = [F.bitwise_not(w) if best == "high" else w for w in words(F.col("_s"), kinds["s"].dataType)]
+    if best == "high" and isinstance(kinds["s"].dataType, (T.FloatType, T.DoubleType)):
+        missing = F.when(F.col("_s").isNull(), 2).when(F.isnan("_s"), 1).otherwise(0)
+    else:
+        missing = F.when(F.col("_s").isNull(), 2).otherwise(0)
+    last = [missing.cast("long"), *value, *words(F.col("id"), kinds["i"].dataType)]
+    return own.select("k", *(w.alias(f"w{i}") for i, w in enumerate(last)), "id"), len(last)
+
+
+def _byte(word: Column, b: int) -> Column:
+    return F.shiftrightunsigned(word, 8 * (7 - b)).bitwiseAND(F.lit(255))
+
+
+class _State:
+    """What is known of each contributor's cutoff: a local relation of at most ``BROADCAST_KEYS`` rows, or a written table."""
+
+    def __init__(self, df: DataFrame, *, few: bool) -> None:
+        self.few = few
+        self.table = df.toArrow() if few else None
+        self.df = F.broadcast(df.sparkSession.createDataFrame(self.table, df.schema)) if few else cut(df, "cap-state")
+
+    def with_column(self, name: str, value: Column) -> None:
+        df = self.df.withColumn(name, value)
+        self.df = F.broadcast(df) if self.few else df
+
+    def varying(self, w: int, b: int) -> tuple[int, int]:
+        """How many open contributors have records that differ in a byte, and how many are open."""
+        if not self.few:
+            differs = _byte(F.col(f"or{w}").bitwiseXOR(F.col(f"and{w}")), b) != 0
+            return tuple(self.df.where("open").agg(F.count_if(differs), F.count("*")).first())
+        is_open = self.table.column("open").to_numpy()
+        bits = self.table.column(f"or{w}").to_numpy() ^ self.table.column(f"and{w}").to_numpy()
+        return int(((bits >> 8 * (7 - b) & 255 != 0) & is_open).sum()), int(is_open.sum())
+
+
+def cutoffs(rows: DataFrame, sizes: DataFrame, n_words: int, cap: int, *, few: bool) -> DataFrame:
+    """k, c0, c1, ...: the last record kept of each contributor in ``sizes`` (k and the bits its words have in common)."""
+    masks = [f"{m}{i}" for i in range(n_words) for m in ("or", "and")]
+    fixed = [f"c{i}" for i in range(n_words)]
     zero = F.lit(0).cast("long")
-    state = _small(sizes.select("k", F.lit(cap).cast("long").alias("need"), zero.alias("hi0"), zero.alias("lo0"), F.lit(True).alias("open"), *MASKS), few, "cap-0")
-
-    def left(condition: Column) -> bool:
-        return not state.where(F.col("open") & condition).isEmpty()
-
-    own = cut(named.join(state.select("k"), "k"), "cap-rows") if left(F.lit(True)) else named
-    for round_ in range(BYTES):
-        if not left(_constant(round_).isNull()):
-            if not left(F.lit(True)):
-                break
-            hi, lo = _placed(round_, _constant(round_))
-            state = state.select("k", "need", F.when(F.col("open"), hi).otherwise(F.col("hi0")).alias("hi0"), F.when(F.col("open"), lo).otherwise(F.col("lo0")).alias("lo0"), "open", *MASKS)
-            state = F.broadcast(state) if few else state
+    state = _State(sizes.select("k", F.lit(cap).cast("long").alias("need"), *(zero.alias(c) for c in fixed), F.lit(True).alias("open"), *masks), few=few)
+    own = rows.drop("id").join(state.df.select("k"), "k")
+    for w, b in ((w, b) for w in range(n_words) for b in range(8)):
+        differ, is_open = state.varying(w, b)
+        if not is_open:
+            break
+        place = lambda d: F.col(f"c{w}").bitwiseOR(F.call_function("shiftleft", d.cast("long"), F.lit(8 * (7 - b))))  # noqa: B023, E731
+        if not differ:
+            state.with_column(f"c{w}", F.when(F.col("open"), place(_byte(F.col(f"and{w}"), b))).otherwise(F.col(f"c{w}")))
             continue
-        hi0, lo0 = _prefix(round_, "hi0", "lo0")
-        hi, lo = _prefix(round_, "hi", "lo")
-        agree = own.join(state.where("open").select("k", "hi0", "lo0"), "k").where((hi == hi0) & (lo == lo0))
-        counts = agree.groupBy("k", _byte(round_).alias("d")).agg(F.count("*").alias("c"))
+        counts = own.groupBy("k", _byte(F.col(f"w{w}"), b).alias("d")).agg(F.count("*").alias("c"))
         up = Window.partitionBy("k").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-        chosen = counts.withColumn("upto", F.sum("c").over(up)).join(state.where("open"), "k").where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("c") < F.col("need")))
-        new_hi, new_lo = _placed(round_, F.col("d"))
+        chosen = counts.withColumn("upto", F.sum("c").over(up)).join(state.df.where("open"), "k").where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("c") < F.col("need")))
         need = F.col("need") - (F.col("upto") - F.col("c"))
-        # All records of the byte are kept: the cutoff is the largest one that agrees.
+        # All records of the byte are kept: the cutoff is the largest record that may have it.
         full = need == F.col("c")
-        below = 2 ** (8 * (3 - round_)) - 1 if round_ < 4 else 0
-        lo_below = -1 if round_ < 4 else (1 << (8 * (11 - round_))) - 1
-        done = chosen.select("k", need.alias("need"), F.when(full, new_hi.bitwiseOR(F.lit(below))).otherwise(new_hi).alias("hi0"), F.when(full, new_lo.bitwiseOR(F.lit(lo_below))).otherwise(new_lo).alias("lo0"), (~full).alias("open"), *MASKS)
-        state = _small(state.where("not open").unionByName(done), few, f"cap-{round_ + 1}")
-    out = state.select("k", F.col("hi0").alias("cut_hi"), F.col("lo0").alias("cut_lo"))
-    return F.broadcast(out) if few else out
-
-
-def over_cap(df: DataFrame, key: Column, score: Column, id_col: str, *, max_rows: int | None = None, max_share: float | None = None) -> DataFrame:
+        below = (1 << 8 * (7 - b)) - 1
+        new = [
+            F.col(c) if i < w else F.when(full, place(F.col("d")).bitwiseOR(F.lit(below))).otherwise(place(F.col("d"))) if i == w else F.when(full, F.lit(-1).cast("long")).otherwise(F.col(c))
+            for i, c in enumerate(fixed)
+        ]
+        done = chosen.select("k", need.alias("need"), *(x.alias(c) for x, c in zip(new, fixed)), (~full).alias("open"), *masks)
+        state = _State(state.df.where("not open").unionByName(done), few=few)
+        if not state.varying(w, b)[1]:
+            break
+        agreeing = state.df.where("open").select("k", _byte(F.col(f"c{w}"), b).alias("_d"))
+        own = cut(own.join(F.broadcast(agreeing) if few else agreeing, "k").where(_byte(F.col(f"w{w}"), b) == F.col("_d")).drop("_d"), "cap-rows")
+    return state.df.select("k", *fixed)
+
+
+def over_cap(df: DataFrame, key: Column, score: Column, id_col: str, *, max_rows: int | None = None, max_share: float | None = None, best: str = "low") -> DataFrame:
     """The ids of the records left out, as column ``id``.
 
-    ``score`` is an integer, ascending from the best one. Give ``max_rows``, or ``max_share`` of all rows (rounded down).
+    The best score is the lowest one, or the highest for ``best="high"``; it may be any number, a date, a time or a
+    text. Give ``max_rows``, or ``max_share`` of all rows (rounded down).
     """
     n_rows = df.count()
     cap = max_rows if max_rows is not None else int(n_rows * max_share + 1e-9)
-    rows = df.select(*encoded(key, score, F.col(id_col)), F.col(id_col).alias("id"))
+    rows, n_words = encoded(df, key, score, id_col, best=best)
     if n_rows == 0:
         return rows.select("id").limit(0)
     if cap <= 0:
         return rows.where("k is not null").select("id")
-    limits = cutoffs(rows.select("k", "hi", "lo"), cap, n_rows)
-    later = (F.col("hi") > F.col("cut_hi")) | ((F.col("hi") == F.col("cut_hi")) & (F.col("lo").bitwiseXOR(F.lit(_SIGN)) > F.col("cut_lo").bitwiseXOR(F.lit(_SIGN))))
-    return rows.join(limits, "k").where(later).select("id")
+    named = rows.where("k is not null")
+    sizes = named.groupBy("k").agg(F.count("*").alias("n"), *(f(f"w{i}").alias(f"{m}{i}") for i in range(n_words) for m, f in (("or", F.bit_or), ("and", F.bit_and)))).where(F.col("n") > cap)
+    signed = lambda prefix: F.struct(*(F.col(f"{prefix}{i}").bitwiseXOR(F.lit(_SIGN)).alias(f"x{i}") for i in range(n_words)))
+    later = signed("w") > signed("c")
+    hot = max(cap, n_rows // BROADCAST_KEYS)
+    limits = F.broadcast(cutoffs(named, sizes.where(F.col("n") > hot), n_words, cap, few=True))
+    if hot == cap:
+        return named.join(limits, "k").where(later).select("id")
+    # Contributors between the cap and the broadcast share.
+    told = named.join(limits, "k", "left")
+    rest = cut(sizes.where(F.col("n") <= hot), "cap-sizes")
+    cold = told.where("c0 is null").drop(*(f"c{i}" for i in range(n_words)))
+    of_rest = cold.join(cutoffs(cold, rest, n_words, cap, few=False), "k").where(later).select("id")
+    return told.where(F.col("c0").isNotNull() & later).select("id").unionByName(of_rest)

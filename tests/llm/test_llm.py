@@ -1,5 +1,7 @@
+import datetime
 import random
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,18 +82,60 @@ def test_a_hot_group_of_copies(spark):
 # -- capping
 
 
-@pytest.mark.parametrize("few,cap", [(10_000, 1), (10_000, 40), (0, 7)])
+def beyond_caps(rows, cap, best="low"):
+    """Brute force over (id, contributor, score): null scores last, NaN before them, ties by id."""
+    out = set()
+    for k in {k for _, k, _ in rows} - {None}:
+        rank = lambda p: (2, 0) if p is None else (1, 0) if p != p else (0, p + 0.0 if isinstance(p, float) else p)
+        own = sorted(((rank(p), i) for i, kk, p in rows if kk == k), key=lambda x: x[1])
+        own.sort(key=lambda x: x[0] if best == "low" or x[0][0] else (0, -x[0][1]))
+        out |= {i for _, i in own[cap:]}
+    return out
+
+
+@pytest.mark.parametrize("few,cap", [(10_000, 1), (10_000, 40), (4, 7), (1, 7)])
 def test_caps_match_brute_force(spark, monkeypatch, few, cap):
+    """Few: contributors above a quarter of the rows are hot, or none is."""
     monkeypatch.setattr(capping, "BROADCAST_KEYS", few)
     random.seed(cap)
     rows = [(i * 7919 - 1_000_000, random.choice(["a", "a", "a", "b", "c", None]), random.choice([None, 1, 2, 3, 300, 70_000])) for i in range(300)]
-    df = spark.createDataFrame(rows, "id long, k string, position int").withColumn("hi", F.lit("clash"))
-    got = {r["id"] for r in capping.over_cap(df, F.col("k"), F.col("position"), "id", max_rows=cap).collect()}
-    want = set()
-    for k in "abc":
-        own = sorted((p is None, p or 0, i) for i, kk, p in rows if kk == k)
-        want |= {i for _, _, i in own[cap:]}
-    assert got == want
+    df = spark.createDataFrame(rows, "id long, k string, position int").withColumn("w0", F.lit("clash"))
+    assert {r["id"] for r in capping.over_cap(df, F.col("k"), F.col("position"), "id", max_rows=cap).collect()} == beyond_caps(rows, cap)
+
+
+SCORES = {
+    "double": [0.93, 0.12, -0.5, 1e300, -1e-300, 0.0, -0.0, float("inf"), float("-inf"), float("nan"), None, 2.0**31, 2.0**32], "float": [0.5, -0.25, None, float("nan")], "long": [2**63 - 1, -(2**63), 0, 2**31, 2**32, -1, None],
+    "decimal(38,10)": [Decimal("1.5"), Decimal("-1.5"), Decimal("12345678901234567890123456.0000000001"), Decimal("-0.0000000001"), Decimal("0.0000000001"), None], "decimal(5,2)": [Decimal("0.93"), Decimal("0.12"), Decimal("-9.99")],
+    "date": [datetime.date(2024, 1, 2), datetime.date(1950, 5, 5), None],
+}
+
+
+@pytest.mark.parametrize("kind,best", [("double", "high"), ("double", "low"), ("float", "low"), ("long", "high"), ("decimal(38,10)", "low"), ("decimal(5,2)", "high"), ("date", "low")])
+def test_scores_of_any_type(spark, kind, best):
+    random.seed(3)
+    rows = [(i, random.choice("aab"), random.choice(SCORES[kind])) for i in range(120)]
+    df = spark.createDataFrame(rows, f"id int, k string, s {kind}").coalesce(1)
+    assert {r["id"] for r in capping.over_cap(df, F.col("k"), F.col("s"), "id", max_rows=20, best=best).collect()} == beyond_caps(rows, 20, best)
+
+
+def test_ids_of_text(spark):
+    random.seed(4)
+    ids = {"".join(random.choice("ab\0é😀") for _ in range(random.choice([0, 1, 3, 7, 8, 9]))) for _ in range(200)}
+    rows = [(i, "k", 1) for i in sorted(ids, key=lambda x: x.encode())]
+    df = spark.createDataFrame(random.sample(rows, len(rows)), "id string, k string, s int").coalesce(1)
+    for cap in (5, 100):
+        assert {r["id"] for r in capping.over_cap(df, F.col("k"), F.col("s"), "id", max_rows=cap).collect()} == {i for i, _, _ in rows[cap:]}
+    # Beyond the compared bytes a hash decides; the number that is kept is exact.
+    long = spark.range(50).select(F.concat(F.lit("x" * 200), F.col("id")).alias("id"), F.lit("k").alias("k"), F.lit(1).alias("s"))
+    assert capping.over_cap(long, F.col("k"), F.col("s"), "id", max_rows=20).distinct().count() == 30
+
+
+def test_small_caps_with_a_contributor_of_a_third(spark):
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("x"), F.col("id") % 5_000)).alias("k"), (F.xxhash64("id") % 100 / 7.0).alias("s"))
+    out = capping.over_cap(df, F.col("k"), F.col("s"), "id", max_rows=3, best="high")
+    df.createOrReplaceTempView("capped")
+    want = spark.sql("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY k ORDER BY s DESC, id) AS rn FROM capped) WHERE rn > 3")
+    assert out.exceptAll(want).count() == 0 and want.exceptAll(out).count() == 0
 
 
 def test_caps_of_ties_empty_tables_and_shares(spark):
@@ -253,8 +297,6 @@ def test_found_spans_are_true_and_texts_are_redacted(spark):
     assert len(clean) == len(rows) and clean[1000] is None and clean[1003] == "plain"
     for i, t in rows:
         want, at = "", 0
-        for _, kind, a, b in sorted(x for x in got if x[0] == i):
-            pass
         for a, b, kind in sorted((a, b, k) for j, k, a, b in got if j == i):
             want += t[at:a] + f"[{kind.upper()}]"
             at = b
