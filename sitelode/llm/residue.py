@@ -5,17 +5,19 @@ Placeholders are found by a grammar for each kind of delimiter. Delimiters that
 vocabulary and by repetition, messages and notices by their wording when they make up a whole segment of the
 text (between ends, bars, dashes or sentence ends), so a title that only speaks of one is none.
 
-A hit is discounted when it is quoted, inside code ticks, or when the words next to it speak about it (as
-tutorials do) and the rest is the larger part of the text by density.
+A hit is discounted when it is quoted, in code (fenced or indented blocks, ticks, ``<pre>``, ``<code>``), or when
+the words next to it speak about it, as tutorials do, and the rest is the larger part of the text by density.
 
 All of it is built-in expressions on columns: no Python, no shuffle.
 
 Defined cases: null, empty and blank texts hold no residue; letter case, white space and curly quotes don't
-matter; texts of any length are read whole.
+matter; texts, placeholders, code and messages may have any length.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +44,18 @@ _SLOT_SPACED = "(?:" + "|".join(sorted(SLOT_NAMES, key=len, reverse=True)) + ")"
 _IDENTIFIER = r"(?:[a-z]\w*(?:[_.][a-z]\w*)+)"
 _NAME = rf"\s?(?:{_SLOT}|{_IDENTIFIER})\s?"
 
+#: A grammar for each pair of delimiters: from the opening one to the next closing one, however far that is and whatever is nested in between.
 PLACEHOLDERS = (
-    r"\{\{[^{}]{0,80}\}\}",
-    r"\{%[^{}]{0,80}%\}",
-    r"[$#]\{[^{}]{0,80}\}",
-    r"\{\$[^{}]{1,80}\}",
-    r"<%.{0,80}?%>",
-    r"<\?(?:php|=).{0,80}?\?>",
-    r"\[\[[^\[\]]{1,80}\]\]",
-    r"\[%[^\[\]]{1,80}%\]",
-    r"\*\|[^|]{1,80}\|\*",
-    r"%%[^%\s][^%]{0,80}%%",
+    r"\{\{.*?\}\}",
+    r"\{%.*?%\}",
+    r"[$#]\{.*?\}",
+    r"\{\$.+?\}",
+    r"<%.*?%>",
+    r"<\?(?:php|=).*?\?>",
+    r"\[\[.+?\]\]",
+    r"\[%.+?%\]",
+    r"\*\|.+?\|\*",
+    r"%%[^%\s](?:[^%]*[^%\s])?%%",
     r"@model\.\w[\w.]*",
     r"__[a-z][\w. ]*?__",
     rf"%{_NAME}%",
@@ -69,8 +72,8 @@ FILLERS = (
     r"(?<![“\"«„'`])\blorem ipsum\b(?![”\"»“'`])(?! &)",
     rf"^[^\w]*{_FILLER}(?:[ ,.;]+{_FILLER})*[.]?(?:$| [|–-] )",
     r"\b(asdf|qwerty|lipsum|blah|foo bar|abc|xxx|foo|bar|baz|test|text|dummy|sample)(?:[ ,]+\1\b)+",
-    r"\b(\p{L}{2,12})(?:[ ,]+\1\b){2,}",
-    r"\bxxx+ .{1,40} xxx+\b",
+    r"\b(\p{L}{2,})(?:[ ,]+\1\b){2,}",
+    r"\bxxx+ [^|]+? xxx+\b",
     r"\btest test\b",
 )
 
@@ -79,8 +82,8 @@ _THING = rf"(?:{_SLOT}|copy|caption|intro|page (?:text|description))"
 PROMPTS = (
     rf"your (?:own )?{_THING}(?: (?:goes )?here)?",
     rf"your {_THING} (?:goes )?here",
-    rf"\[your [^\]]{{1,40}}\]",
-    rf"\[(?:insert|add|enter|type) [^\]]{{1,40}}\]",
+    rf"\[your [^\]]+\]",
+    rf"\[(?:insert|add|enter|type) [^\]]+\]",
     rf"insert (?:your |the |a )?{_THING}(?: here)?",
     rf"(?:enter|type|write|add) (?:your |the |a |an ){_THING}(?: (?:here|for this page))?",
     rf"(?:enter|type|write|add|put) {_THING} (?:here|for this page)",
@@ -112,7 +115,7 @@ _CODE = r"(?:[45]\d\d)"
 MESSAGES = (
     rf"(?:(?:http|error|erreur|fehler|status)(?: code)?[ :#]*)?{_CODE}",
     rf"(?:(?:http|error|erreur|fehler)[ :#]*)?{_CODE}[ :–-]*(?:error|not found|forbidden|gone|unauthorized|bad (?:gateway|request)|internal server error|service (?:temporarily )?unavailable|gateway time-?out|request time-?out|too many requests|page not found)",
-    rf"(?:http|error|erreur|fehler)[ :#]*{_CODE} ?[:–-] ?[^|]{{3,60}}",
+    rf"(?:http|error|erreur|fehler)[ :#]*{_CODE} ?[:–-] ?[^|]{{3,}}?",
     r"(?:the )?(?:requested )?(?:page|url|file|site|resource)(?: you requested)? (?:was |is |could |can )?(?:not|n't)(?: be)? ?(?:found|available|exist)",
     r"(?:oops|sorry|whoops)?[!,.]? ?(?:that|this|the) page (?:can't|cannot|could not|couldn't) be found",
     r"page (?:not found|does not exist|doesn't exist|no longer exists|unavailable)",
@@ -122,46 +125,57 @@ MESSAGES = (
     r"(?:la )?página no (?:encontrada|existe|disponible)|no existe la página|acceso denegado|error (?:interno )?del servidor",
     r"(?:de )?pagina niet gevonden|pagina non trovata|página não encontrada",
     r"(?:お探しの)?ページが見つかりません(?:でした)?。?|页面(?:不存在|未找到)。?|找不到(?:该)?页面。?",
-    r"access (?:is )?denied|permission denied|you (?:do not|don't) have permission[^|]{0,50}",
-    r"(?:sorry, ?)?(?:we )?(?:couldn't|could not|can't|cannot) find (?:what you were looking for|(?:the|that|this) page[^|]{0,30})",
-    r"(?:oops[!,.]? ?)?something went wrong(?:[.!,]? ?(?:please )?try again(?: later)?)?|an? (?:unexpected |unknown )?error (?:has )?occurred[^|]{0,40}",
+    r"access (?:is )?denied|permission denied|you (?:do not|don't) have permission[^|]{0,}?",
+    r"(?:sorry, ?)?(?:we )?(?:couldn't|could not|can't|cannot) find (?:what you were looking for|(?:the|that|this) page[^|]{0,}?)",
+    r"(?:oops[!,.]? ?)?something went wrong(?:[.!,]? ?(?:please )?try again(?: later)?)?|an? (?:unexpected |unknown )?error (?:has )?occurred[^|]{0,}?",
     r"this (?:page|site) (?:isn't|is not) (?:working|available)(?: right now)?",
-    r"application error(?::[^|]{0,60})?|runtime error|server error(?: in '/' application)?",
+    r"application error(?::[^|]{0,}?)?|runtime error|server error(?: in '/' application)?",
     r"error establishing a database connection|(?:my)?sql (?:syntax )?error(?: near line \d+)?|database error|could not connect to (?:the )?database",
-    r"(?:warning|notice|fatal error|parse error|uncaught \w*error|deprecated|traceback)(?::| \() ?[^|]{3,90}",
+    r"(?:warning|notice|fatal error|parse error|uncaught \w*error|deprecated|traceback)(?::| \() ?[^|]{3,}?",
     r"request (?:id )?[\w-]* ?(?:was |has been )?blocked|(?:you have been|your (?:ip|request) (?:was|has been)) blocked",
     r"(?:this )?(?:account|site|website) (?:has been |is )?suspended",
     r"(?:this )?domain (?:name )?(?:is |has been )?(?:parked|for sale|expired)",
     r"(?:this |the |our )?(?:site|website|page) (?:is )?(?:temporarily |currently )?(?:down|offline|unavailable|under|closed)(?: (?:for|due to))? ?(?:scheduled |planned )?(?:maintenance|construction)?",
     r"(?:we are |down |currently )?(?:down|closed|under) (?:for )?maintenance|maintenance mode",
     r"(?:sitio|página|web) en (?:mantenimiento|construcción)|site en (?:maintenance|construction)|(?:seite|website) (?:im aufbau|in wartung)",
-    r"wartungsarbeiten(?: ?[-–,:] ?[^|]{0,40})?",
+    r"wartungsarbeiten(?: ?[-–,:] ?[^|]{0,}?)?",
     r"(?:your |the )?session (?:has )?(?:expired|timed out)",
     r"index of /\S*",
     r"(?:please )?(?:verify|confirm|prove) (?:that )?you(?:'re| are) (?:a )?(?:human|not a robot)(?: to (?:proceed|continue))?",
-    r"(?:checking|verifying) (?:your browser|if the site connection is secure)(?: before[^|]{0,40})?",
+    r"(?:checking|verifying) (?:your browser|if the site connection is secure)(?: before[^|]{0,}?)?",
     r"just a moment(?: please wait)?(?= ?[.…])|one moment, please ?(?:\.{2,3}|…)?|please wait ?(?:\.{2,3}|…)?|loading ?(?:\.{2,3}|…)",
-    r"attention required!?|(?:ddos|bot) protection by[^|]{0,30}|are you a robot\??|captcha(?: required)?|too many requests|rate limited|quota exceeded",
+    r"attention required!?|(?:ddos|bot) protection by[^|]{0,}?|are you a robot\??|captcha(?: required)?|too many requests|rate limited|quota exceeded",
 )
 
 _SCRIPT = r"(?:java ?script|js|scripts?|scripting)"
 NOTICES = (
-    rf"(?:please |you need to |you must |to [^|]{{3,40}}, ?)?(?:enable|activate|allow|turn on|switch on|unblock) (?:cookies and )?{_SCRIPT}(?:(?: in| for) (?:your|this) (?:browser|settings|site))?(?: ?(?:,|and|or|to|then|for) [^|]{{3,60}})?",
-    rf"(?:please )?(?:turn|switch) {_SCRIPT} (?:back )?on(?: ?(?:,|and|to) [^|]{{3,60}})?",
-    rf"[^|.]{{0,50}}\b(?:requires?|needs?) {_SCRIPT}(?: to [^|]{{3,40}})?",
-    rf"{_SCRIPT} (?:is|are|seems?(?: to be)?|must be|needs? to be|has to be) (?:currently )?(?:disabled|required|needed|off|turned off|switched off|blocked|enabled|on|turned on|switched on)(?: (?:in|for|to|on|by)\b[^|]{{0,50}})?",
+    rf"(?:please |you need to |you must |to [^|]{{3,}}?, ?)?(?:enable|activate|allow|turn on|switch on|unblock) (?:cookies and )?{_SCRIPT}(?:(?: in| for) (?:your|this) (?:browser|settings|site))?(?: ?(?:,|and|or|to|then|for) [^|]{{3,}}?)?",
+    rf"(?:please )?(?:turn|switch) {_SCRIPT} (?:back )?on(?: ?(?:,|and|to) [^|]{{3,}}?)?",
+    rf"[^|.]*\b(?:requires?|needs?) {_SCRIPT}(?: to [^|]{{3,}}?)?",
+    rf"{_SCRIPT} (?:is|are|seems?(?: to be)?|must be|needs? to be|has to be) (?:currently )?(?:disabled|required|needed|off|turned off|switched off|blocked|enabled|on|turned on|switched on)(?: (?:in|for|to|on|by)\b[^|]{{0,}}?)?",
     rf"{_SCRIPT} (?:disabled|required|needed)",
     rf"(?:your|this) browser (?:does not|doesn't|is not|cannot|can't) (?:support|run|execute|allow)(?:ing)? {_SCRIPT}",
-    rf"[^|]{{0,60}}\b(?:unless|without|until) {_SCRIPT} (?:is|are|being)? ?(?:switched on|turned on|enabled|on|active)",
-    rf"[^|]{{0,60}}\({_SCRIPT} (?:must be|is|are) (?:on|required|enabled|needed)\)",
-    rf"(?:bitte )?(?:aktivieren|schalten|erlauben) sie (?:bitte )?{_SCRIPT}[^|]{{0,50}}|(?:bitte )?{_SCRIPT} (?:aktivieren|einschalten|erlauben)[^|]{{0,40}}|{_SCRIPT} (?:ist|wird) (?:deaktiviert|benötigt|erforderlich|ausgeschaltet)[^|]{{0,40}}",
-    rf"(?:veuillez |merci d['’])?(?:activer|activez|autoriser) {_SCRIPT}[^|]{{0,50}}|{_SCRIPT} (?:est|doit être) (?:désactivé|requis|nécessaire|activé)[^|]{{0,40}}",
-    rf"(?:por favor,? )?(?:active|activa|habilite|habilita|active el|activar) {_SCRIPT}[^|]{{0,50}}|{_SCRIPT} (?:está|debe estar) (?:desactivado|deshabilitado|activado|habilitado)[^|]{{0,40}}|(?:se requiere|requiere|necesita) {_SCRIPT}[^|]{{0,40}}",
-    rf"(?:schakel|zet) {_SCRIPT} (?:in|aan)[^|]{{0,40}}|(?:abilita|attiva) {_SCRIPT}[^|]{{0,40}}|(?:ative|habilite) o {_SCRIPT}[^|]{{0,40}}",
-    rf"{_SCRIPT}(?:を有効にして(?:ください)?|が(?:無効|必要)です?)[^|]{{0,20}}|请?(?:启用|开启) ?{_SCRIPT}[^|]{{0,20}}",
+    rf"[^|]{{0,}}?\b(?:unless|without|until) {_SCRIPT} (?:is|are|being)? ?(?:switched on|turned on|enabled|on|active)",
+    rf"[^|]{{0,}}?\({_SCRIPT} (?:must be|is|are) (?:on|required|enabled|needed)\)",
+    rf"(?:bitte )?(?:aktivieren|schalten|erlauben) sie (?:bitte )?{_SCRIPT}[^|]{{0,}}?|(?:bitte )?{_SCRIPT} (?:aktivieren|einschalten|erlauben)[^|]{{0,}}?|{_SCRIPT} (?:ist|wird) (?:deaktiviert|benötigt|erforderlich|ausgeschaltet)[^|]{{0,}}?",
+    rf"(?:veuillez |merci d['’])?(?:activer|activez|autoriser) {_SCRIPT}[^|]{{0,}}?|{_SCRIPT} (?:est|doit être) (?:désactivé|requis|nécessaire|activé)[^|]{{0,}}?",
+    rf"(?:por favor,? )?(?:active|activa|habilite|habilita|active el|activar) {_SCRIPT}[^|]{{0,}}?|{_SCRIPT} (?:está|debe estar) (?:desactivado|deshabilitado|activado|habilitado)[^|]{{0,}}?|(?:se requiere|requiere|necesita) {_SCRIPT}[^|]{{0,}}?",
+    rf"(?:schakel|zet) {_SCRIPT} (?:in|aan)[^|]{{0,}}?|(?:abilita|attiva) {_SCRIPT}[^|]{{0,}}?|(?:ative|habilite) o {_SCRIPT}[^|]{{0,}}?",
+    rf"{_SCRIPT}(?:を有効にして(?:ください)?|が(?:無効|必要)です?)[^|]{{0,}}?|请?(?:启用|开启) ?{_SCRIPT}[^|]{{0,}}?",
     r"\[?noscript\]?",
 )
 
+#: Words one of which every message, prompt and filler holds, in lower case; texts without them skip the patterns.
+MESSAGE_WORDS = (
+    "found", "avail", "exist", "forbidden", "bad ", "gateway", "time", "error", "fehler", "erreur", "unauthorized", "nicht", "zugriff", "introuvable", "trouvée", "accès", "serveur", "encontrada", "disponible", "acceso",
+    "gevonden", "trovata", "页", "ページ", "denied", "permission", "find", "wrong", "working", "database", "warning", "notice", "uncaught", "deprecated", "traceback", "blocked", "suspended", "domain", "maintenance", "down",
+    "offline", "closed", "construc", "mantenimiento", "aufbau", "wartung", "expired", "timed out", "index of", "robot", "human", "browser", "secure", "moment", "wait", "loading", "attention", "protection", "captcha", "too many", "rate limited", "quota", "under",
+)
+PROMPT_WORDS = (
+    "your", "[", "insert", "enter", "type", "write", "add", "put", "replace", "change", "edit", "update", "hier", "votre", "insérez", "saisissez", "ajoutez", "aquí", "default", "dummy", "placeholder", "todo", "tbd", "fixme", "xxx",
+    "new page", "here", "follow", "untitled", "sample", "hello", "coming soon", "construction",
+)
+
 #: Words that, right before or after a placeholder, speak about it.
 _ABOUT_BEFORE = r"(?:stray|unfilled|unrendered|literal|raw|leftover|left-over|token|tokens|placeholder|placeholders|variable|variables|syntax|called|named|like|write|typing|typed)"
 _ABOUT_AFTER = r"(?:tokens?|tags?|placeholders?|variables?|syntax|markers?|costs? you|means?)"
@@ -177,8 +191,10 @@ def _whole(patterns: tuple[str, ...]) -> str:
     return f"(?iu){_BEFORE}(?:{'|'.join(patterns)})(?:{_AFTER}|{_SENTENCE})"
 
 
-_PLACEHOLDER = f"(?iu)(?:{'|'.join(PLACEHOLDERS)})"
-_SPOKEN_OF = rf"(?iu)\b{_ABOUT_BEFORE} [“\"'«„]?(?:{'|'.join(PLACEHOLDERS)})|(?:{'|'.join(PLACEHOLDERS)})[”\"'»“]? {_ABOUT_AFTER}\b"
+_PLACEHOLDER = f"(?ius)(?:{'|'.join(PLACEHOLDERS)})"
+#: What is quoted as code: fenced and indented blocks of a text with lines, ticks and elements.
+_CODE_BLOCKS = r"(?is)```.*?(?:```|$)|~~~.*?(?:~~~|$)|<(pre|code|kbd|samp)\b[^>]*>.*?</\1>|`[^`]+`|(?<=[\r\n])(?: {4}|\t)[^\r\n]*"
+_SPOKEN_OF = rf"(?ius)\b{_ABOUT_BEFORE} [“\"'«„]?(?:{'|'.join(PLACEHOLDERS)})|(?:{'|'.join(PLACEHOLDERS)})[”\"'»“]? {_ABOUT_AFTER}\b"
 #: A slot name between doubled spaces, as underscores leave it that a site turned into spaces.
 _GHOST = rf"(?iu)(?:^ {{2,3}}|\S {{3,4}}){_SLOT_SPACED.replace(' ', '[ .]?')}(?: {{2,3}}$| {{3,4}}\S)"
 
@@ -190,27 +206,41 @@ def normal(text: Column) -> Column:
 
 def residue_kind(text: Column) -> Column:
     """placeholder, filler, message or notice; null if the text holds none."""
-    return bind(F.struct(text.alias("raw"), normal(text).alias("t")), _kind)
+    with_normal = bind(text, lambda raw: F.struct(raw.alias("raw"), normal(raw).alias("t")))
+    return bind(with_normal, lambda x: bind(F.struct(x["raw"].alias("raw"), x["t"].alias("t"), F.lower(x["t"]).alias("l")), _kind))
+
+
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+
+
+def _unfilled(x: Column) -> Column:
+    """Whether placeholders stand in the text that are neither code nor spoken of, or are most of it although they are spoken of."""
+
+    def of(code: Column) -> Column:
+        spoken = F.regexp_replace(code, _SPOKEN_OF, " ")
+        density = F.length(spoken) < F.length(x["t"]) / 2
+        return code.rlike(_PLACEHOLDER) & (spoken.rlike(_PLACEHOLDER) | density)
+
+    return bind(normal(F.regexp_replace(x["raw"], _CODE_BLOCKS, " ")), of)
 
 
 def _kind(x: Column) -> Column:
-    text, t = x["raw"], x["t"]
-    code = F.regexp_replace(t, r"`[^`]{1,80}`|<code>.{0,200}?</code>", " ")
-    spoken = F.regexp_replace(code, _SPOKEN_OF, " ")
-    # What is only spoken of counts after all if it is most of the text.
+    text, t, low = x["raw"], x["t"], x["l"]
     # No placeholder is without such a mark, and no notice without such a word.
-    marked, scripted = t.rlike(r"[{\[<%*@_]"), t.rlike("(?i)script|js")
-    placeholder = marked & (spoken.rlike(_PLACEHOLDER) | (code.rlike(_PLACEHOLDER) & (F.length(spoken) < F.length(t) / 2)))
-    filler = t.rlike(f"(?iu)(?:{'|'.join(FILLERS[:3])})") | F.lit(False)
+    marked, scripted = t.rlike(r"[{\[<%*@_]"), low.rlike("script|js")
+    run = low.rlike(f"(?u)(?:{'|'.join(FILLERS[:3])})")
+    filler = F.lit(False)
     for pattern in FILLERS[3:]:
-        filler = filler | t.rlike(f"(?iu){pattern}")
+        filler = filler | low.rlike(f"(?u){pattern}")
+    nothing = _holds(low, ("undefined", "null", "nan", "none", "n/a", "nil", "[object")) & (t.rlike(_whole(NOTHINGS)) | low.rlike(f"(?u){REPEATED_NOTHING}"))
     return (
-        F.when(placeholder, "placeholder")
+        F.when(marked & _unfilled(x), "placeholder")
         .when(text.rlike(_GHOST), "placeholder")
-        .when(t.rlike(_whole(NOTHINGS)) | t.rlike(f"(?iu){REPEATED_NOTHING}"), "placeholder")
-        .when(filler | t.rlike(_whole(PROMPTS)), "filler")
+        .when(nothing, "placeholder")
+        .when((_holds(low, FILLER_WORDS) & run) | filler | (_holds(low, PROMPT_WORDS) & t.rlike(_whole(PROMPTS))), "filler")
         .when(scripted & t.rlike(_whole(NOTICES)), "notice")
-        .when(t.rlike(_whole(MESSAGES)), "message")
+        .when((_holds(low, MESSAGE_WORDS) | t.rlike("[45][0-9][0-9]")) & t.rlike(_whole(MESSAGES)), "message")
     )
 
 

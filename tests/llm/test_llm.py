@@ -165,6 +165,12 @@ def test_residue(spark):
     got = df.select("t", "hold", residue.residue_kind(F.col("t")).alias("k")).collect()
     assert not [(r["t"], r["k"]) for r in got if (r["k"] is not None) != r["hold"]]
     assert residue.without_residue(df.limit(0), ["t"]).count() == 0
+    inside = [o + ("field name " * n).strip() + c for n in (20, 500) for o, c in (("{{", "}}"), ("{{ a {b} ", "}}"), ("${", "}"), ("<%= ", " %>"), ("[[ a [b] ", "]]"), ("{% if a == '{' ", " %}"), ("*|", "|*"), ("%%", "%%"), ("[your ", "]"))]
+    said = ["Fatal error: " + "module loader could not resolve path " * 9 + "on line 3", "JavaScript is required to " + "see the map and " * 20 + "book", "placeholdertexts placeholdertexts placeholdertexts"]
+    code = ["Guide\n```\nHello {{title}}\n```\nand more about it", "How to print a name:\n    Dear {{first_name}},\nas the manual says", "<pre>" + "{{x}} and text " * 60 + "</pre> is how templates look", "Write `" + "{{a}} " * 40 + "` in the field"]
+    got = spark.createDataFrame([(t,) for t in inside + said + code], "t string").select("t", residue.residue_kind(F.col("t")).alias("k")).collect()
+    kinds = {r["t"]: r["k"] for r in got}
+    assert all(kinds[t] == "placeholder" or t.startswith("[your") and kinds[t] == "filler" for t in inside) and all(kinds[t] for t in said) and not any(kinds[t] for t in code)
     long = spark.createDataFrame([("plain words " * 20_000 + "{{title}}",), ("plain words and other ones " * 20_000,)], "t string")
     assert [r["k"] for r in long.select(residue.residue_kind(F.col("t")).alias("k")).collect()] == ["placeholder", None]
 
