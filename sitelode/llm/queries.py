@@ -100,8 +100,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts with each piece replaced by a placeholder of its kind."""
-    documents = table(spark, sf_dir, "documents")
-    return personal.redact(documents, "doc_id", "text", p9_found(spark, sf_dir))
+    return personal.redact(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_lexicon"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_type_ngrams, p3_found, p3_groups, p4_found, p5_found, p5_clean_pages, p7_ids, p8_containers, p8_fill, p9_found, p9_redacted)}

@@ -299,7 +299,7 @@ def test_found_spans_are_true_and_texts_are_redacted(spark):
     found = personal.find(df, "id", "text", names)
     got = {tuple(r) for r in found.collect()}
     assert len(got & truth) >= 0.97 * len(truth) and len(got & truth) >= 0.97 * len(got)
-    clean = {r["id"]: r["text"] for r in personal.redact(df, "id", "text", found).collect()}
+    clean = {r["id"]: r["text"] for r in personal.redact(df, "id", "text", names).collect()}
     assert len(clean) == len(rows) and clean[1000] is None and clean[1003] == "plain"
     for i, t in rows:
         want, at = "", 0
@@ -324,4 +324,71 @@ def test_estimation_finds_the_bad_labelers():
 
 def test_no_texts_no_names(spark):
     df = spark.createDataFrame([], "id int, text string")
-    assert personal.find(df, "id", "text", spark.createDataFrame([], "name string, name_part string")).count() == 0
+    none = spark.createDataFrame([], "name string, name_part string")
+    assert personal.find(df, "id", "text", none).count() == 0 and personal.redact(df, "id", "text", none).count() == 0
+
+
+def found(spark, rows, names=()):
+    """The pieces that are found in (text, ...) rows: Counter of (kind, piece)."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, text string").coalesce(2)
+    got = personal.find(df, "id", "text", spark.createDataFrame(list(names), "name string, name_part string")).collect()
+    return {(r["id"], r["kind"], rows[r["id"]][r["start_char"] : r["end_char"]]) for r in got}
+
+
+def test_mostly_false_candidates(spark):
+    """Of each kind one candidate in ten is true; the others are samples, places spoken of, numbers of other kinds and prizes."""
+    random.seed(9)
+    rows, want = [], set()
+    for i in range(600):
+        kind, n = i % 5, f"{random.randint(100, 999)}"
+        g, f = (random.choice([x for x, p in NAMES if p == part]) for part in ("given", "family"))
+        if i % 50 < 5:
+            piece, text = (
+                ("email", f"{g.lower()}.{f.lower()}@mail{n}.test", "Contact: {}"), ("id_number", f"{n}-45-6{n}", "my SSN: {}."), ("address", f"{n} Mill Lane, Oldport ZX1 2AB", "Address: {}\n"),
+                ("phone", f"+44 20 7946 0{n}", "Call {} today"), ("person", f"{g} {f}", "Author: {} | notes"),
+            )[kind][1:]
+            want.add((len(rows), ("email", "id_number", "address", "phone", "person")[kind], piece))
+            rows.append(text.format(piece))
+        else:
+            rows.append(
+                (
+                    f"the remote is ssh://user@build{n}.test/x", f"Example of the order tax number 11111{n[0] * 4} EUR", f"photo near the corner of {n} Mill Street, Oldport", f"SKU {n} 555 0{n}, batch 4", f"The {f} Award of {n}",
+                )[kind]
+            )
+    got = found(spark, rows, NAMES)
+    for kind in personal.KINDS:
+        mine, true = {x for x in got if x[1] == kind}, {x for x in want if x[1] == kind}
+        assert len(mine & true) >= 0.97 * len(true) and len(mine & true) >= 0.97 * len(mine), (kind, sorted(mine - true)[:3], sorted(true - mine)[:3])
+
+
+def test_names_without_a_gazetteer_and_in_other_scripts(spark):
+    rows = ["Dear Xandria Quent,\nthe page", "Author: Wulfgang Tripp | x", "联系人：王小明，电话", "李娜女士您好", "担当：山田 太郎\n", "田中太郎さんが担当します", "Автор: Иван Петрович Сидоров", "Уважаемый Николай, спасибо", "お客様へ。皆様", "联系人：客服部", "The harbour opens at nine."] * 5
+    got = {(k, p) for _, k, p in found(spark, rows)}
+    assert got == {("person", p) for p in ("Xandria Quent", "Wulfgang Tripp", "王小明", "李娜", "山田 太郎", "田中太郎", "Иван Петрович Сидоров", "Николай")}
+
+
+def test_a_gazetteer_of_any_size(spark, monkeypatch):
+    rows = [f"Author: {g} {f} | notes on {f} Optics" for g in ("Fenmir", "Zorlo") for f in ("Holhagen", "Arnwick")] * 4 + ["", None]
+    few = found(spark, [r or "" for r in rows], NAMES)
+    monkeypatch.setattr(personal, "MOST_NAMES", 20)
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    names = spark.createDataFrame(NAMES, "name string, name_part string")
+    got = {(r["id"], r["kind"], rows[r["id"]][r["start_char"] : r["end_char"]]) for r in personal.find(df, "id", "text", names).collect()}
+    assert got == few and len(got) == 16
+    assert personal.redact(df, "id", "text", names).where("text like 'Author: [PERSON] | notes on %'").count() == 16
+
+
+def test_halves_of_the_texts_decide_alike(spark, small):
+    """A span has the same decision from the whole, and from one half of the texts."""
+    d = small.replace("sf0.001", "sf0.01")
+    df, names = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/name_lexicon.parquet")
+    whole = {tuple(r) for r in personal.find(df, "doc_id", "text", names).collect()}
+    half = {tuple(r) for r in personal.find(df.where("doc_id % 2 = 0"), "doc_id", "text", names).collect()}
+    flips = {x for x in whole if x[0] % 2 == 0} ^ half
+    assert len(half) > 200 and len(flips) <= 0.005 * len(half)
+
+
+def test_long_texts_with_many_spans():
+    text = "Author: Fenmir Holhagen, call +44 20 7946 0123 or a@b.test; " * 4_000
+    got = personal.candidates(text, personal.Gazetteer(NAMES))
+    assert Counter(k for k, *_ in got) == {"person": 4_000, "phone": 4_000, "email": 4_000}
