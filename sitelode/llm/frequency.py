@@ -1,14 +1,15 @@
 """Frequencies of all n-grams of term sequences: occurrences, and records that hold them.
 
 Suffix-sorted counting. Each record emits one suffix for each position, cut to ``max_n`` terms, instead of
-every n-gram. A suffix is routed by its first terms, suffixes are sorted in reverse lexicographic order, and
-one pass with a stack of open prefixes sums up all prefixes of all suffixes. ``max_n = 1`` counts values.
+every n-gram. Suffixes are combined where they are read, routed by their first terms, sorted in reverse
+lexicographic order, and one pass with a stack of open prefixes sums up all prefixes of all suffixes: one exchange.
+``max_n = 1`` counts values.
 
-Records without record sets. Whether an n-gram occurs for the first time in its record is known where the
-record is read, and if a prefix is new there, so are all longer ones: one number a suffix, ``new_from``, says
-from which length on its prefixes count for the record. Equal suffixes then merge before the shuffle into
-(suffix, new_from, count), so a term that fills a third of all rows arrives as a few rows, and no set of
-record ids is ever held.
+Records without record sets. A record's own suffixes are sorted too. What a suffix shares with the one before it
+has been counted for the record there; every longer prefix is new. So one number a suffix, ``new_from``, says from
+which length on its prefixes count for the record: it takes one sort of the record, however long that is. Equal
+suffixes then merge into (suffix, new_from, count), so a term that fills a third of all rows arrives as a few rows
+from each task, and no set of record ids is ever held.
 
 Routing uses the first term and a bucket of the second. Only prefixes of length one can be in several
 buckets, at most ``SPREAD`` of them, so a frequent first term is spread over tasks; a last sum merges those.
@@ -40,24 +41,45 @@ def domain_key(col: str | Column) -> Column:
 
 
 def _suffixes(df: DataFrame, group: str, terms: str, max_n: int) -> DataFrame:
-    """(group, t1..tn, new_from) of each position; JVM only."""
-    if max_n == 1:
-        # A position is new if the term isn't among those before it.
-        at = df.select(group, F.col(terms).alias("_t")).select(group, "_t", F.posexplode("_t").alias("_i", "t1"))
-        new = F.when(F.array_position("_t", F.col("t1")) == F.col("_i") + 1, F.lit(1)).otherwise(F.lit(2))
-        return at.where("t1 is not null").select(group, "t1", new.cast("byte").alias("new_from"))
-    grams = F.expr(
-        f"""transform(_t, (x, i) -> struct(i AS i, slice(_t, i + 1, {max_n}) AS g))"""
-    )
-    rows = df.select(group, F.col(terms).alias("_t")).withColumn("_s", grams).select(group, "_s", F.explode("_s").alias("_x"))
-    cut = F.expr("CASE WHEN array_position(transform(_x.g, y -> y IS NULL), true) > 0 THEN slice(_x.g, 1, CAST(array_position(transform(_x.g, y -> y IS NULL), true) AS INT) - 1) ELSE _x.g END")
-    rows = rows.withColumn("_g", cut).where(F.size("_g") > 0)
-    # The longest prefix that an earlier position of the record has; all longer ones are new.
-    old = F.expr(
-        """aggregate(filter(_s, s -> s.i < _x.i AND s.g[0] = _g[0]), 0, (a, s) -> greatest(a,
-            aggregate(sequence(1, least(size(s.g), size(_g))), 0, (k, j) -> IF(k = j - 1 AND s.g[j - 1] = _g[j - 1], j, k))))"""
-    )
-    return rows.select(group, *(F.expr(f"try_element_at(_g, {i + 1})").alias(f"t{i + 1}") for i in range(max_n)), (old + 1).cast("byte").alias("new_from"))
+    """(group, t1..tn, new_from) of each position that holds a term; JVM only, one sort of each record."""
+    gap = "array_position(transform(g, y -> y IS NULL), true)"
+    cut = f"transform(transform(_t, (x, i) -> slice(_t, i + 1, {max_n})), g -> IF({gap} > 0, slice(g, 1, CAST({gap} AS INT) - 1), g))"
+    ordered = df.select(group, F.col(terms).alias("_t")).select(group, F.expr(f"array_sort(filter({cut}, g -> size(g) > 0))").alias("_s"))
+    shared = "aggregate(sequence(1, least(size(get(_s, i - 1)), size(g))), 0, (k, j) -> IF(k = j - 1 AND get(_s, i - 1)[j - 1] = g[j - 1], j, k))"
+    rows = ordered.select(group, F.explode(F.expr(f"transform(_s, (g, i) -> struct(g, CAST(IF(i = 0, 0, {shared}) + 1 AS BYTE) AS new_from))")).alias("_x"))
+    return rows.select(group, *(F.expr(f"try_element_at(_x.g, {i + 1})").alias(f"t{i + 1}") for i in range(max_n)), F.col("_x.new_from").alias("new_from"))
+
+
+#: Rows that a task combines before it hands them on.
+COMBINE_ROWS = 400_000
+
+
+def _combined(rows: DataFrame) -> DataFrame:
+    """Equal rows of a task merged to one with their number, as ``c``: a map-side combine that leaves the routing of the exchange free."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("c", T.LongType())])
+    names = rows.columns
+
+    def merge(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by(names, use_threads=False).aggregate([("c", "sum")]).select([*names, "c_sum"]).rename_columns([*names, "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        n = 0
+        for batch in batches:
+            held.append(pa.table([*batch.columns, pa.array(np.ones(batch.num_rows, np.int64))], [*names, "c"]))
+            n += batch.num_rows
+            if n >= COMBINE_ROWS:
+                merged = merge(held)
+                # What doesn't shrink any more is handed on.
+                if merged.num_rows > COMBINE_ROWS // 2:
+                    yield from merged.to_batches(max_chunksize=10_000)
+                    held, n = [], 0
+                else:
+                    held, n = [merged], merged.num_rows
+        if held:
+            yield from merge(held).to_batches(max_chunksize=10_000)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _stack(max_n: int, group_type: pa.DataType):
@@ -124,7 +146,7 @@ def ngram_counts(df: DataFrame, terms: str, *, group: str | None = None, max_n:
     """
     named = df.select(F.col(group).alias("group_name") if group else F.lit("").alias("group_name"), F.col(terms).alias("_terms"))
     cols = [f"t{i + 1}" for i in range(max_n)]
-    merged = _suffixes(named, "group_name", "_terms", max_n).groupBy("group_name", *cols, "new_from").agg(F.count("*").alias("c"))
+    merged = _combined(_suffixes(named, "group_name", "_terms", max_n))
     route = ["group_name", "t1"] + ([F.pmod(F.xxhash64("t2"), F.lit(SPREAD))] if max_n > 1 else [])
     # Sorting is reverse lexicographic: a prefix comes after its longer suffixes.
     ordered = merged.repartition(*route).sortWithinPartitions("group_name", *(F.desc_nulls_last(c) for c in cols))

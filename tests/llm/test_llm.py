@@ -52,6 +52,19 @@ def test_ngrams_of_nothing_and_of_one_hot_term(spark):
     assert {r["n"]: (r["k"], r["r"]) for r in got} == {1: (1, 20_000), 2: (20_000, 20_000)}
 
 
+def test_long_records_and_small_combines(spark, monkeypatch):
+    monkeypatch.setattr(frequency, "COMBINE_ROWS", 50)
+    random.seed(8)
+    rows = [("x", [random.choice("abcde") for _ in range(3_000)]), ("x", ["a"] * 2_000 + [None] + ["b"] * 500)] + [("x", [random.choice("ab")]) for _ in range(300)]
+    got = {("x", tuple(r[f"t{i + 1}"] for i in range(r["n"]))): (r["occurrences"], r["records"]) for r in frequency.ngram_counts(spark.createDataFrame(rows, "g string, terms array<string>"), "terms", max_n=3).collect()}
+    assert got == brute_counts(rows, 3)
+    # A record of very many terms takes one sort, not a comparison of each with each.
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: (i % 1_000).cast("string")).alias("terms"))
+    assert frequency.ngram_counts(long, "terms", max_n=2).where("n = 1 AND occurrences = 200 AND records = 1").count() == 1_000
+    plan = frequency.ngram_counts(long, "terms")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_domain_key(spark):
     cases = {' "A.test"/ ': "a.test", "..": None, "": None, None: None, "ÄB.test.": "äb.test"}
     df = spark.createDataFrame([(c,) for c in cases], "d string")
