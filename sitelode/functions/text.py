@@ -83,6 +83,18 @@ def keyphrases(c: str | Column) -> Column:
     return bind(flagged, of)
 
 
+def counted(values: Column) -> Column:
+    """(value, n) of each distinct value of an array, by one sort of it."""
+
+    def of(s: Column) -> Column:
+        size = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), size), lambda i: (i == 0) | (i == size) | (F.get(s, i - 1) != F.get(s, i)))
+        pairs = bind(starts, lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda j: F.struct(F.get(s, F.get(at, j)).alias("value"), (F.get(at, j + 1) - F.get(at, j)).alias("n"))))
+        return F.when(size > 0, pairs)
+
+    return bind(F.array_sort(values), of)
+
+
 def shingles(c: str | Column, k: int = 6) -> Column:
     """Distinct runs of k words."""
     words = F.regexp_extract_all(F.lower(_col(c)), F.lit("([a-z0-9']+)"), 1)

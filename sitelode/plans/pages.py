@@ -10,11 +10,15 @@ from sitelode.operators import rules, sampling, scoring
 from sitelode.session import table
 
 
+#: Sources of pages that were taken from a sitemap.
+LISTED = ("sitemap", "sweep")
+
+
 def facts(pages: DataFrame) -> DataFrame:
     """The facts that the table of pages holds, one row for each page."""
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     p = pages.select(
-        "page_id", F.coalesce("url", F.lit("")).alias("url"), "source", "status", urls.normalize_domain("domain").alias("site"), urls.scheme("url").alias("scheme"), blank("title").alias("title"), blank("description").alias("description"),
+        "page_id", F.coalesce("url", F.lit("")).alias("url"), "canonical", "source", "status", urls.normalize_domain("domain").alias("site"), urls.scheme("url").alias("scheme"), blank("title").alias("title"), blank("description").alias("description"),
         F.col("word_count").alias("words"), F.coalesce(F.size(F.filter("h1", lambda h: F.trim(h) != "")), F.lit(0)).alias("h1_count"), urls.strip_www(urls.host("canonical")).alias("canonical_host"),
         urls.scheme("canonical").alias("canonical_scheme"), F.when(F.col("canonical").isNotNull(), urls.path("canonical")).alias("canonical_path"), urls.path("url").alias("final_path"), urls.path("url").alias("slug_path"),
         urls.strip_www(urls.host("url")).alias("final_host"), blank("lang").alias("lang"), F.col("robots").alias("meta_robots"), "internal_links", "client_rendered", "schema_types", urls.url_template("url").alias("template"), urls.path_depth("url").alias("depth"),
@@ -91,13 +95,14 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sitemap_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of a site by what is wrong with listing them: redirects, errors, noindex, other canonical."""
-    p = facts(table(spark, sf_dir, "pages")).join(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("u"), "canonical"), "page_id")
+    """A site's pages that come from its sitemap by what is wrong with listing them (redirects, errors, noindex, other canonical), and all pages that refuse."""
+    p = facts(table(spark, sf_dir, "pages"))
+    listed = F.col("source").isin(*LISTED)
     noindex = F.lower("meta_robots").contains("noindex")
-    other = F.col("canonical").isNotNull() & (F.rtrim("canonical", F.lit("/")) != F.rtrim("u", F.lit("/")))
+    other = urls.same_site("canonical", "url") & (F.rtrim("canonical", F.lit("/")) != F.rtrim("url", F.lit("/")))
     return p.groupBy("site").agg(
-        F.count("*").alias("sm_checked"), F.count_if(F.col("status").between(300, 399)).alias("sm_redirects"), F.count_if(F.col("status").isin(404, 410) | (F.col("status") >= 500)).alias("sm_dead"),
-        F.count_if(noindex).alias("sm_noindex"), F.count_if(other & (F.col("status") == 200)).alias("sm_noncanonical"), F.count_if(F.col("status").isin(401, 403, 406, 429)).alias("refused_pages"),
+        F.count_if(listed).alias("sm_checked"), F.count_if(listed & F.col("status").between(300, 399)).alias("sm_redirects"), F.count_if(listed & (F.col("status").isin(404, 410) | (F.col("status") >= 500))).alias("sm_dead"),
+        F.count_if(listed & noindex).alias("sm_noindex"), F.count_if(listed & other).alias("sm_noncanonical"), F.count_if(F.col("status").isin(401, 403, 406, 429)).alias("refused_pages"),
     )
 
 
@@ -196,8 +201,8 @@ st AS (SELECT DISTINCT site, template, n, f FROM i), rk AS (SELECT *, row_number
 tu AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY j, rk) AS t FROM sl), q AS (SELECT site, template, count(*) AS k FROM tu WHERE t <= 15 GROUP BY 1, 2),
 x AS (SELECT i.*, k FROM i JOIN q USING (site, template))
 SELECT site, template, page_id FROM x WHERE k >= n OR len(list_filter(range(0, k), lambda z: floor(z * (CAST(n AS DOUBLE) / k)) = i)) > 0""",
-    "sitemap_hygiene": f"""WITH {_BASE} SELECT site, count(*) AS sm_checked, count(*) FILTER (status BETWEEN 300 AND 399) AS sm_redirects, count(*) FILTER (status IN (404, 410) OR status >= 500) AS sm_dead, count(*) FILTER (lower(robots) LIKE '%noindex%') AS sm_noindex,
-count(*) FILTER (canonical IS NOT NULL AND rtrim(canonical, '/') <> rtrim(NULLIF(url, ''), '/') AND status = 200) AS sm_noncanonical, count(*) FILTER (status IN (401, 403, 406, 429)) AS refused_pages FROM p GROUP BY 1""",
+    "sitemap_hygiene": f"""WITH {_BASE} SELECT site, count(*) FILTER (l) AS sm_checked, count(*) FILTER (l AND status BETWEEN 300 AND 399) AS sm_redirects, count(*) FILTER (l AND (status IN (404, 410) OR status >= 500)) AS sm_dead, count(*) FILTER (l AND lower(robots) LIKE '%noindex%') AS sm_noindex,
+count(*) FILTER (l AND canonical IS NOT NULL AND chost = host AND rtrim(canonical, '/') <> rtrim(url, '/')) AS sm_noncanonical, count(*) FILTER (status IN (401, 403, 406, 429)) AS refused_pages FROM (SELECT *, source IN ('sitemap', 'sweep') AS l FROM p) GROUP BY 1""",
     "url_parts": f"""WITH u AS (SELECT page_id, url, canonical, {', '.join(f'{e} AS {n}' for n, e in _PART.items())}, coalesce(regexp_extract(url, '\\?([^#]*)', 1), '') AS query FROM pages WHERE url IS NOT NULL), b AS (SELECT page_id, template, depth FROM (WITH {_BASE} SELECT page_id, template, depth FROM p)),
 h AS (SELECT *, regexp_replace(host, '^www\\.', '') AS bare FROM u), l AS (SELECT *, string_split(bare, '.') AS ls FROM h)
 SELECT page_id, scheme, host, path, query, template, CAST(depth AS INTEGER) AS depth, lower(bare || rtrim(path, '/')) AS norm,

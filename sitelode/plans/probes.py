@@ -122,7 +122,7 @@ QUERIES = {
     for f in (agent_matrix, agent_findings, link_classes, orphan_templates, head_parity, certificate_findings, rating_conflicts, mail_auth, host_variant_facts, feature_advantages, keyword_overlap, affiliate_kinds)
 }
 
-_MATRIX = f"""e AS (SELECT event_id, event_id // 50 AS k, event_id % 50 AS url_no, {_pick_sql('event_id', STATUSES)} AS status, event_id % 11 = 0 AS mitigated FROM events WHERE event_id % 50 < 2),
+_MATRIX = f"""e AS (SELECT event_id, event_id // 2 AS k, event_id % 2 AS url_no, {_pick_sql('event_id', STATUSES)} AS status, event_id % 11 = 0 AS mitigated FROM events),
 v AS (SELECT k % 40 AS site, 'agent-' || (k // 40) AS agent, {_pick_sql('k', ROLES)} AS role, url_no, CASE WHEN status = 402 THEN 'pay per crawl' WHEN mitigated THEN 'challenged' WHEN status BETWEEN 200 AND 399 THEN 'ok' WHEN status IN (401, 403, 406, 429, 503) THEN 'refused' ELSE 'no answer' END AS v FROM e),
 g AS (SELECT site, agent, role, count(*) AS n, count(*) FILTER (v = 'ok') AS ok, first(v ORDER BY url_no) FILTER (v <> 'ok') AS bad FROM v GROUP BY 1, 2, 3),
 m AS (SELECT site, agent, role, CASE WHEN ok = n THEN 'ok' WHEN ok = 0 THEN bad ELSE bad || ' on some pages' END AS verdict FROM g)"""
@@ -135,8 +135,8 @@ UNION ALL SELECT site, 'MEDIUM', 'AI training crawlers are refused at the edge'
     "link_classes": f"""WITH t AS (SELECT o_custkey AS site, o_orderkey AS k, {_pick_sql('o_orderkey', LINK_STATUSES)} AS status FROM orders)
 SELECT site, CASE WHEN status IN (404, 410) THEN 'broken' WHEN status >= 500 THEN 'server error' WHEN k % 10 IN (0, 1) THEN 'trivial redirect' WHEN k % 10 = 2 THEN 'redirect' WHEN k % 13 = 0 THEN 'noindex' WHEN k % 9 = 0 THEN 'non-canonical' ELSE 'fine' END AS kind, count(*) AS n FROM t GROUP BY ALL""",
     "orphan_templates": "SELECT p_size AS site, '/t' || (p_partkey % 3) || '/*' AS template, count(*) AS n_urls FROM part WHERE p_partkey % 3 <> 1 GROUP BY ALL HAVING count(*) >= 5",
-    "head_parity": f"""WITH c AS (SELECT l_orderkey % 200 AS site, l_orderkey AS url, l_linenumber AS m, {_pick_sql('l_partkey', (200, 200, 405, 404))} AS status FROM lineitem WHERE l_linenumber <= 2),
-g AS (SELECT site, url, max(status) FILTER (m = 1) AS g, max(status) FILTER (m = 2) AS h FROM c GROUP BY 1, 2) SELECT site, CAST(count(*) FILTER (g = 200 AND h >= 400) AS INTEGER) AS head_failures FROM g GROUP BY 1""",
+    "head_parity": f"""WITH c AS (SELECT l_orderkey % 200 AS site, l_orderkey AS url, l_linenumber AS m, {_pick_sql('l_partkey', (200, 200, 405, 404))} AS status FROM lineitem),
+g AS (SELECT site, url, max(status) FILTER (m % 2 = 1) AS g, max(status) FILTER (m % 2 = 0) AS h FROM c GROUP BY 1, 2) SELECT site, CAST(count(*) FILTER (g = 200 AND h >= 400) AS INTEGER) AS head_failures FROM g GROUP BY 1""",
     "certificate_findings": f"""WITH c AS (SELECT c_custkey AS site, {_pick_sql('c_custkey', DAYS)} AS d FROM customer)
 SELECT site, CASE WHEN d < 0 THEN 'CRITICAL' WHEN d <= 14 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE WHEN d < 0 THEN '{_TITLES["expired"]}' WHEN d <= 14 THEN '{_TITLES["soon"]}' ELSE '{_TITLES["month"]}' END AS title FROM c WHERE d <= 30""",
     "rating_conflicts": "SELECT p_type AS site, p_brand AS name, count(DISTINCT p_size) AS n_counts FROM part WHERE p_brand IS NOT NULL AND trim(p_brand) <> '' GROUP BY 1, 2 HAVING count(DISTINCT p_size) >= 2",

@@ -18,12 +18,21 @@ CLASSES = (
     ("reference", ("wikipedia", "wikitravel", "wikivoyage")),
     ("news", ("azfamily", "kpnx", "azcentral")),
 )
+#: Parts of names that tell of news sites and directories, broadcasting networks, and names of classes as callers may write them. Fixed values.
 NEWS_HINTS = ("news", "times", "tribune", "herald", "gazette")
 DIRECTORY_HINTS = ("visit", "tourism", "downtown", "chamber")
-STATION = r"^(fox|abc|nbc|cbs)([0-9]+[a-z]*|news)?$|^[kw][a-z]{1,3}tv[0-9]*$|sun$"
+NETWORKS = ("fox", "abc", "nbc", "cbs")
 ALIASES = {"ota": "marketplace", "marketplace/ota": "marketplace", "aggregator": "marketplace", "social/video": "social", "video": "social", "dmo": "directory", "directory/dmo": "directory", "competitor": "business"}
 
 
+def station(name: Column) -> Column:
+    """Whether a name is a broadcaster's or a paper's: a network with a channel, a call sign before 'tv', or an ending in 'sun'."""
+    channel = F.substring(name, 4, 63)
+    network = F.substring(name, 1, 3).isin(*NETWORKS) & ((channel == "") | (channel == "news") | channel.rlike("^[0-9]+[a-z]*$"))
+    sign = F.regexp_extract(name, "^([a-z]+)tv[0-9]*$", 1)
+    return network | (F.substring(sign, 1, 1).isin("k", "w") & F.length(sign).between(2, 4)) | name.endswith("sun")
+
+
 def classify(domain: Column, own: tuple[str, ...] = (), overrides: dict[str, str] | None = None) -> Column:
     """The class of a normalized domain: own, overrides (longest first), table, .edu, news, directory, .org/.gov, business."""
     lits = lambda xs: F.array(*map(F.lit, xs))
@@ -39,7 +48,7 @@ def classify(domain: Column, own: tuple[str, ...] = (), overrides: dict[str, str
             hit = F.arrays_overlap(words, lits(tokens))
             out = out.when(hit | F.exists(lits(dotted), lambda o: urls.host_matches(d, o)) if dotted else hit, c)
         out = out.when(d.endswith(".edu") | d.contains(".edu."), "reference")
-        out = out.when(F.arrays_overlap(words, lits(NEWS_HINTS)) | F.exists(lits(NEWS_HINTS), lambda h: name.endswith(h)) | name.rlike(STATION), "news")
+        out = out.when(F.arrays_overlap(words, lits(NEWS_HINTS)) | F.exists(lits(NEWS_HINTS), lambda h: name.endswith(h)) | station(name), "news")
         hinted = F.arrays_overlap(words, lits(DIRECTORY_HINTS)) | F.exists(lits(DIRECTORY_HINTS), lambda h: name.startswith(h) | name.endswith(h))
         out = out.when(~name.rlike("tour(?!ism)") & hinted, "directory")
         return out.when(F.exists(lits((".org", ".gov")), lambda t: d.endswith(t) | d.contains(F.concat(t, F.lit(".")))), "directory").otherwise("business")
@@ -179,7 +188,8 @@ def _class_sql(own: tuple[str, ...] = (), overrides: dict[str, str] | None = Non
         w += [f"WHEN {_match(e)} THEN '{c}'" if "." in e else f"WHEN list_contains(words, '{e}') THEN '{c}'" for e in entries]
     w.append("WHEN ends_with(domain, '.edu') OR contains(domain, '.edu.') THEN 'reference'")
     w += [f"WHEN list_contains(words, '{h}') OR ends_with(name, '{h}') THEN 'news'" for h in NEWS_HINTS]
-    w.append(f"WHEN regexp_matches(name, '{STATION}') THEN 'news'")
+    networks = ",".join(f"'{n}'" for n in NETWORKS)
+    w.append(f"WHEN (name[:3] IN ({networks}) AND (name[4:] IN ('', 'news') OR regexp_matches(name[4:], '^[0-9]+[a-z]*$'))) OR regexp_matches(name, '^[kw][a-z]{{1,3}}tv[0-9]*$') OR ends_with(name, 'sun') THEN 'news'")
     w += [f"WHEN NOT contains(replace(name, 'tourism', ''), 'tour') AND (starts_with(name, '{h}') OR ends_with(name, '{h}') OR list_contains(words, '{h}')) THEN 'directory'" for h in DIRECTORY_HINTS]
     w += [f"WHEN ends_with(domain, '{t}') OR contains(domain, '{t}.') THEN 'directory'" for t in (".org", ".gov")]
     return "CASE " + " ".join(w) + " ELSE 'business' END"

@@ -150,7 +150,7 @@ SELECT n.site, a.agent, a.role, coalesce(m.blocked, s.blocked, false) AS blocked
 FROM (SELECT o_custkey, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders) GROUP BY 1""",
     "canonical_links": f"""WITH p AS (SELECT page_id, word_count AS words, {_NORM.format('url')} AS k, CASE WHEN canonical IS NOT NULL THEN {_NORM.format('canonical')} END AS c FROM pages WHERE url IS NOT NULL), t AS (SELECT k, max(words) AS target_words FROM p GROUP BY 1)
 SELECT page_id, words, target_words, words - target_words >= 150 AND target_words < words * 0.75 AS thinner FROM p JOIN t ON p.c = t.k WHERE p.c <> p.k AND p.c <> ''""",
-    "affiliate_share": """WITH l AS (SELECT l_suppkey AS site, l_orderkey AS page_id, CASE l_partkey % 7 WHEN 0 THEN 'a' || l_partkey WHEN 1 THEN 'n' WHEN 2 THEN 'i' || l_partkey WHEN 3 THEN 'v' || l_partkey END AS u FROM lineitem WHERE l_linenumber = 1),
+    "affiliate_share": """WITH l AS (SELECT l_suppkey AS site, l_orderkey AS page_id, CASE l_partkey % 7 WHEN 0 THEN 'a' || l_partkey WHEN 1 THEN 'n' WHEN 2 THEN 'i' || l_partkey WHEN 3 THEN 'v' || l_partkey END AS u FROM lineitem),
 t AS (SELECT site, count(DISTINCT page_id) AS analysed FROM l GROUP BY 1), k AS (SELECT DISTINCT * FROM l WHERE u IS NOT NULL), p AS (SELECT site, u FROM k JOIN t USING (site) GROUP BY site, u, analysed HAVING count(*) <= analysed * 0.5)
 SELECT site, CAST(analysed AS INTEGER) AS analysed, CAST((SELECT count(DISTINCT page_id) FROM k JOIN p USING (site, u) WHERE k.site = t.site) AS INTEGER) AS affiliate_pages FROM t""",
     "period_compare": """SELECT user_id, CAST(sum(CASE WHEN n AND event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks, CAST(sum(CASE WHEN NOT n AND event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks_before, CAST(sum(CASE WHEN n AND event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS impressions,

@@ -18,24 +18,25 @@ NEAR = 0.8
 
 def keyphrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each key phrase occurs, and in how many texts."""
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(text.keyphrases("text")).alias("phrase"))
-    per = d.groupBy("doc_id", "phrase").agg(F.count("*").alias("c"))
-    return per.groupBy("phrase").agg(F.sum("c").alias("occurrences"), F.count("*").alias("n_texts"))
+    each = table(spark, sf_dir, "documents").where("text is not null").select(F.explode(text.counted(text.keyphrases("text"))).alias("x"))
+    return each.groupBy("x.value").agg(F.sum("x.n").alias("occurrences"), F.count("*").alias("n_texts")).withColumnRenamed("value", "phrase")
 
 
-def prominence(zones: DataFrame, top_n: int = 12, candidates: int = 500) -> DataFrame:
-    """The phrases of a site by weighted prominence; a phrase whose words are all in a better one is dropped.
+def prominence(zones: DataFrame, top_n: int = 12) -> DataFrame:
+    """The ``top_n`` phrases of a site by weighted prominence; a phrase whose words are all in a better one is dropped (a top-k report).
 
-    ``zones`` has site, zone, instance, text. The drop is a fold over the site's best candidates (a top-k report).
+    ``zones`` has site, zone and text, one row for each text. Phrases have at most three words, and of these at most 33
+    (of 3 + 9 + 27 all but the 6 that use all three) are made of a kept phrase's words and have fewer distinct ones. So
+    the best ``34 * top_n`` phrases hold all that can be kept, whatever comes after them.
     """
-    terms = zones.where("text is not null and text <> ''").select("site", "zone", "instance", F.explode(text.keyphrases("text")).alias("term"))
-    counts = terms.groupBy("site", "zone", "instance", "term").agg(F.count("*").alias("c"))
+    terms = zones.where("text is not null and text <> ''").select("site", "zone", F.explode(text.counted(text.keyphrases("text"))).alias("x"))
+    counts = terms.select("site", "zone", F.col("x.value").alias("term"), F.col("x.n").alias("c"))
     pairs = lambda i: F.create_map(*(x for z, v in ZONES.items() for x in (F.lit(z), F.lit(v[i]))))[F.col("zone")]
     scored = counts.groupBy("site", "term").agg(
         F.sum(pairs(0) * F.least("c", pairs(1))).alias("score"), F.array_sort(F.collect_set("zone")).alias("zones"), F.sum(F.when(F.col("zone") == "body", F.col("c")).otherwise(0)).alias("body_count")
     )
     rank = F.row_number().over(Window.partitionBy("site").orderBy(F.desc("score"), F.desc(F.length("term")), "term"))
-    best = scored.withColumn("rn", rank).where(F.col("rn") <= candidates)
+    best = scored.withColumn("rn", rank).where(F.col("rn") <= 34 * top_n)
     listed = best.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("rn", "term", "score", "zones", "body_count"))).alias("l"))
     sub = "size(array_except(split(x.term, ' '), split(k.term, ' '))) = 0 AND size(array_distinct(split(x.term, ' '))) < size(array_distinct(split(k.term, ' ')))"
     kept = F.expr(f"aggregate(l, slice(l, 1, 0), (a, x) -> IF(size(a) >= {top_n} OR exists(a, k -> {sub}), a, concat(a, array(x))))")
@@ -89,8 +90,10 @@ def boilerplate_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _shingled(spark, sf_dir)
     sizes = d.groupBy("site", "lang").agg(F.count("*").alias("n")).where("n >= 3")
     each = d.join(sizes, ["site", "lang"]).select("site", "lang", "n", "doc_id", F.explode_outer("s").alias("h"))
-    freq = each.groupBy("site", "lang", "h").agg(F.count("*").alias("df"))
-    own = each.join(freq, ["site", "lang", "h"], "left").groupBy("site", "lang", "n", "doc_id").agg(F.count_if(F.col("h").isNotNull() & (F.col("df") < F.greatest(F.lit(2), F.floor(F.col("n") * 0.8)))).alias("own"))
+    # Boilerplate is what at least two texts and four in five of the group share; only its few shingles meet the texts again.
+    freq = each.groupBy("site", "lang", "n", "h").agg(F.count("*").alias("df"))
+    shared = freq.where(F.col("df") >= F.greatest(F.lit(2), F.floor(F.col("n") * 0.8))).select("site", "lang", "h", F.lit(True).alias("boiler"))
+    own = each.join(shared, ["site", "lang", "h"], "left").groupBy("site", "lang", "n", "doc_id").agg(F.count_if(F.col("h").isNotNull() & F.col("boiler").isNull()).alias("own"))
     # Counts of each value stand for the sorted list, so a large group is never gathered.
     values = own.groupBy("site", "lang", "n", "own").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("site", "lang").orderBy("own").rowsBetween(Window.unboundedPreceding, 0))
