@@ -21,14 +21,14 @@ PAGE_FACTS = {
 }
 SITE_FACTS = {
     "string": "site missing_trust missing_mail_auth today security_expires",
-    "int": "robots_status robots_bytes robots_sitemaps sitemap_urls sitemap_with_lastmod sitemap_lastmods sitemap_future ai_blocked_search ai_blocked_train variant_http variant_other variant_down probe_status cert_days domain_days pages deep_pages linked_sample links_broken links_5xx links_redirect links_trivial links_noncanonical links_noindex thinner_targets orphan_templates head_failures agents agents_ok agents_refused_answer agents_refused_train descriptions descriptions_no_cta max_depth affiliate_pages analysed near_pairs median_unique rating_conflicts owned_sites owned_shared exposed_files llms_status llms_dead llms_noncanonical stale_assets assets sm_checked sm_redirects sm_dead sm_noindex sm_noncanonical refused_pages contact_dead og_bytes favicon_bytes head_bytes psi_status psi_score home_status analytics ua_only",
+    "int": "robots_status robots_bytes robots_sitemaps sitemap_urls sitemap_with_lastmod sitemap_lastmods sitemap_future ai_blocked_search ai_blocked_train variant_http variant_other variant_down probe_status cert_days domain_days pages deep_pages linked_sample links_broken links_5xx links_redirect links_trivial links_noncanonical links_noindex thinner_targets orphan_templates head_failures agents agents_ok agents_refused_answer agents_refused_train descriptions descriptions_no_cta max_depth affiliate_pages analysed near_pairs median_unique rating_conflicts owned_sites owned_shared exposed_files llms_status llms_dead llms_noncanonical stale_assets assets sm_checked sm_redirects sm_dead sm_noindex sm_noncanonical refused_pages contact_dead og_bytes favicon_bytes head_bytes psi_status psi_score home_status analytics ua_only small_imgs small_checked small_heavy",
     "boolean": "robots_html robots_found sitemap_found blocks_all probe_to_home contact_route any_text any_breadcrumb org_schema local_complete local_signals local_schema social_undeclared postal_found trust_seen dmarc dmarc_reports security_txt llms_format signal_search_no signal_input_no cdn_managed canonical_unlinked og_image og_title og_complete twitter_card title_cta description_cta og_ratio_bad psi_invalid",
     "double": "og_ratio",
 }
 
 P = "page"
 S = "site"
-#: (scope, severity, category, impact, effort, title, predicate); severity and title are SQL where they begin with '='.
+#: (scope, severity, category, impact, effort, title, predicate); severity and title are SQL where they begin with '='. Titles, weights and thresholds are fixed values.
 RULES = (
     (P, "CRITICAL", "crawlability", 5, 3, "Page unreachable", "fetch_error is not null or status = 0"),
     (P, "CRITICAL", "crawlability", 5, 3, "=concat('Server error ', status)", "status >= 500"),
@@ -194,6 +194,7 @@ RULES = (
     (S, "MEDIUM", "crawlability", 3, 1, "=concat('Sitemap lists noindexed URLs (', sm_noindex, ' of ', sm_checked, ' checked)')", "sm_noindex > 0"),
     (S, "MEDIUM", "crawlability", 3, 1, "=concat('Sitemap lists non-canonical URLs (', sm_noncanonical, ' of ', sm_checked, ' checked)')", "sm_noncanonical >= 2"),
     (S, "INFO", "crawlability", 2, 2, "Site refuses non-browser user-agents", "refused_pages > 0"),
+    (S, "=if(small_imgs >= 12, 'MEDIUM', 'LOW')", "performance", 3, 2, "Small images are served from large files", "small_checked >= 3 and small_heavy >= greatest(2, small_checked div 2)"),
     (S, "LOW", "schema", 3, 2, "No Organization/WebSite schema on homepage", "not org_schema"),
     (S, "LOW", "schema", 2, 1, "LocalBusiness schema incomplete", "local_schema and not local_complete"),
     (S, "MEDIUM", "schema", 3, 2, "No LocalBusiness schema for a local business", "not local_schema and local_signals"),
