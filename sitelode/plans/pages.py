@@ -209,4 +209,14 @@ SELECT page_id, scheme, host, path, query, template, CAST(depth AS INTEGER) AS d
 CASE WHEN len(ls) >= 3 AND len(ls[-1]) = 2 AND ls[-2] IN ({','.join(f"'{x}'" for x in urls.REGISTRABLE_SECOND_LEVEL)}) THEN array_to_string(ls[-3:], '.') ELSE array_to_string(ls[-2:], '.') END AS registrable,
 CASE WHEN len(ls) >= 3 AND len(ls[-1]) = 2 AND ls[-2] IN ({','.join(f"'{x}'" for x in urls.SITE_SECOND_LEVEL)}) THEN ls[-3] WHEN len(ls) >= 2 THEN ls[-2] ELSE ls[1] END AS name,
 regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') AS url_key, bare = regexp_replace({_HOST.format('canonical')}, '^www\\.', '') AS canonical_same_site FROM l JOIN b USING (page_id)""",
+    "site_rule_findings": f"""WITH {_BASE}, v AS (SELECT *, lower(description) AS ld, source IN ('sitemap', 'sweep') AS l, coalesce(schema_types, []) AS st FROM p),
+k AS (SELECT *, description <> '' AND NOT regexp_matches(lower(url), 'privacy|terms|legal|imprint|impressum|cookie') AS told, len(list_filter([{", ".join(f"'{verb}'" for verb in text.CTA_VERBS)}], lambda x: contains(' ' || ld || ' ', ' ' || x || ' ') OR starts_with(ld, x || ' '))) > 0 AS cta FROM v),
+sf AS (SELECT site, count(*) FILTER (source <> 'sweep') AS deep, bool_or(words > 0) AS txt, max(depth) AS md, coalesce(bool_or(list_contains(st, 'BreadcrumbList')), false) AS bc, count(*) FILTER (told) AS d, count(*) FILTER (told AND NOT cta) AS dn,
+bool_or(list_has_any(list_filter(st, lambda x: x IS NOT NULL), ['Organization', 'WebSite', 'LocalBusiness'])) FILTER (source = 'homepage') AS org, max(status) FILTER (source = 'homepage') AS home, count(*) FILTER (l) AS c, count(*) FILTER (l AND status BETWEEN 300 AND 399) AS r,
+count(*) FILTER (l AND (status IN (404, 410) OR status >= 500)) AS dd, count(*) FILTER (l AND lower(robots) LIKE '%noindex%') AS ni, count(*) FILTER (l AND canonical IS NOT NULL AND chost = host AND rtrim(canonical, '/') <> rtrim(url, '/')) AS nc, count(*) FILTER (status IN (401, 403, 406, 429)) AS rf FROM k GROUP BY 1)
+SELECT site, 'LOW' AS severity, 'schema' AS category, 'No BreadcrumbList schema on any crawled page' AS title FROM sf WHERE deep >= 3 AND txt AND md >= 2 AND NOT bc
+UNION ALL SELECT site, 'LOW', 'on page', 'Most meta descriptions lack a call to action' FROM sf WHERE d >= 3 AND dn * 2 > d UNION ALL SELECT site, 'CRITICAL', 'crawlability', 'The homepage does not load' FROM sf WHERE home >= 400
+UNION ALL SELECT site, 'LOW', 'crawlability', 'Sitemap lists redirecting URLs (' || r || ')' FROM sf WHERE r >= 2 UNION ALL SELECT site, CASE WHEN dd >= greatest(2, 0.1 * c) THEN 'HIGH' ELSE 'MEDIUM' END, 'crawlability', 'Sitemap lists URLs that return errors (' || dd || ' of ' || c || ' checked)' FROM sf WHERE dd > 0
+UNION ALL SELECT site, 'MEDIUM', 'crawlability', 'Sitemap lists noindexed URLs (' || ni || ' of ' || c || ' checked)' FROM sf WHERE ni > 0 UNION ALL SELECT site, 'MEDIUM', 'crawlability', 'Sitemap lists non-canonical URLs (' || nc || ' of ' || c || ' checked)' FROM sf WHERE nc >= 2
+UNION ALL SELECT site, 'INFO', 'crawlability', 'Site refuses non-browser user-agents' FROM sf WHERE rf > 0 UNION ALL SELECT site, 'LOW', 'schema', 'No Organization/WebSite schema on homepage' FROM sf WHERE NOT org""",
 }

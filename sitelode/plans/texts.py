@@ -145,14 +145,23 @@ def _phrases(expr: str) -> str:
     )
 
 
+_ND = r"regexp_replace(regexp_replace(regexp_extract(lower(regexp_replace(domain, '^[\s ]+|[\s ]+$', '', 'g')), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:@]*)', 1), '^\.+|\.+$', '', 'g'), '^www\.', '')"
+_PATH_OF = r"coalesce(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), '')"
 _SH = r"""d AS (SELECT source AS site, coalesce(lang, '') AS lang, doc_id, regexp_extract_all(lower(text), '([a-z0-9'']+)', 1) AS w, len(list_filter(regexp_split_to_array(text, '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '')) AS words FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
 s AS (SELECT site, lang, doc_id, list_distinct(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' '))) AS s FROM d WHERE words >= 80)"""
+#: The shingles of every document: characters of scripts without spaces are words of their own.
+_ALL = r"""w AS (SELECT coalesce(source, '') AS site, coalesce(lang, '') AS lang, doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}'']+') AS w,
+trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t FROM documents),
+s AS (SELECT site, lang, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 6 THEN list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' ')) WHEN len(w) > 0 THEN w WHEN t <> '' THEN [t] ELSE [] END)) AS s FROM w),
+k AS (SELECT site, lang, s, min(doc_id) AS id FROM s GROUP BY ALL), e AS (SELECT site, lang, id, len(s) AS n, unnest(s) AS h FROM k),
+j AS (SELECT a.site, a.lang, a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.site = b.site AND a.lang = b.lang AND a.h = b.h AND a.id < b.id GROUP BY ALL),
+x AS (SELECT site, lang, a, b, round(c::DOUBLE / (na + nb - c), 6) AS similarity FROM j WHERE c::DOUBLE / (na + nb - c) >= 0.8)"""
 SQL = {
+    "near_duplicate_pairs": f"WITH {_ALL} SELECT * FROM x",
+    "near_duplicate_classes": f"""WITH {_ALL}, l AS (SELECT site, lang, a AS id FROM x UNION ALL SELECT site, lang, b FROM x)
+SELECT s.doc_id, k.id AS class_id, (SELECT count(*) FROM l WHERE l.site = k.site AND l.lang = k.lang AND l.id = k.id) AS n_links FROM s JOIN k ON s.site = k.site AND s.lang = k.lang AND s.s = k.s""",
     "keyphrase_counts": f"WITH p AS (SELECT doc_id, unnest({_phrases('text')}) AS phrase FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, phrase, count(*) AS c FROM p GROUP BY 1, 2) SELECT phrase, CAST(sum(c) AS BIGINT) AS occurrences, count(*) AS n_texts FROM c GROUP BY 1",
     "shingle_frequency": f"WITH {_SH}, e AS (SELECT site, lang, unnest(s) AS shingle FROM s) SELECT site, lang, shingle, count(*) AS n_texts FROM e GROUP BY ALL HAVING count(*) > 1",
-    "near_duplicate_pairs": f"""WITH {_SH}, k AS (SELECT site, lang, list_sort(s) AS s, min(doc_id) AS id FROM s WHERE len(s) > 0 GROUP BY ALL), e AS (SELECT site, lang, id, len(s) AS n, unnest(s) AS h FROM k),
-j AS (SELECT a.site, a.lang, a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.site = b.site AND a.lang = b.lang AND a.h = b.h AND a.id < b.id GROUP BY ALL)
-SELECT site, lang, a, b, round(c::DOUBLE / (na + nb - c), 6) AS similarity FROM j WHERE c::DOUBLE / (na + nb - c) >= {NEAR}""",
     "boilerplate_median": f"""WITH {_SH}, n AS (SELECT site, lang, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) >= 3), e AS (SELECT site, lang, doc_id, unnest(s) AS h FROM s), f AS (SELECT site, lang, h, count(*) AS df FROM e GROUP BY ALL),
 o AS (SELECT s.site, s.lang, n, s.doc_id, count(*) FILTER (f.df IS NOT NULL AND f.df < greatest(2, floor(n * 0.8))) AS own FROM s JOIN n USING (site, lang) LEFT JOIN e ON e.doc_id = s.doc_id LEFT JOIN f ON f.site = s.site AND f.lang = s.lang AND f.h = e.h GROUP BY ALL)
 SELECT site, lang, list_sort(list(own))[n // 2 + 1] AS median_own, n AS n_texts FROM o GROUP BY site, lang, n""",
@@ -160,4 +169,20 @@ SELECT site, lang, list_sort(list(own))[n // 2 + 1] AS median_own, n AS n_texts
 s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[\s\x0B]+', '\1' || chr(1), 'g'), chr(1))) AS s FROM d),
 k AS (SELECT doc_id, lower(trim(s)) AS sentence, count(*) AS n FROM s WHERE len(string_split(trim(regexp_replace(s, '[\s\x0B]+', ' ', 'g')), ' ')) >= 12 GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT doc_id, count(*) AS n_repeated, max(n) AS most FROM k GROUP BY 1""",
+    "keyword_prominence": rf"""WITH RECURSIVE p AS (SELECT page_id, {_ND} AS site, title, description, url, h1 FROM pages WHERE source <> 'sweep' AND word_count > 0),
+z AS (SELECT coalesce(site, '') AS site, 'title' AS zone, 5 AS w, 2 AS most, title AS t FROM p UNION ALL SELECT coalesce(site, ''), 'meta', 3, 2, description FROM p UNION ALL SELECT coalesce(site, ''), 'url', 2, 2, translate({_PATH_OF}, '/-_', '   ') FROM p UNION ALL SELECT coalesce(site, ''), 'h1', 4, 2, unnest(h1) FROM p),
+n AS (SELECT row_number() OVER () AS i, * FROM z WHERE t IS NOT NULL AND t <> ''), g AS (SELECT i, site, zone, w, most, unnest({_phrases('t')}) AS term FROM n), c AS (SELECT i, site, zone, w, most, term, count(*) AS c FROM g GROUP BY ALL),
+d AS (SELECT site, term, CAST(sum(w * least(c, most)) AS BIGINT) AS score, list_sort(list_distinct(list(zone))) AS zones FROM c GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, length(term) DESC, term) AS rn, list_distinct(string_split(term, ' ')) AS ws FROM d),
+f(site, rn, kept, terms) AS (SELECT DISTINCT site, 0::BIGINT, []::VARCHAR[][], []::VARCHAR[] FROM r
+UNION ALL SELECT f.site, r.rn, CASE WHEN k THEN list_append(kept, ws) ELSE kept END, CASE WHEN k THEN list_append(terms, term) ELSE terms END FROM f JOIN r ON r.site = f.site AND r.rn = f.rn + 1,
+LATERAL (SELECT len(kept) < 12 AND len(list_filter(kept, lambda o: list_has_all(o, ws) AND len(o) > len(ws))) = 0 AS k) WHERE len(kept) < 12),
+l AS (SELECT site, last(terms ORDER BY rn) AS terms FROM f GROUP BY 1), o AS (SELECT site, unnest(terms) AS term, unnest(range(1, len(terms) + 1)) AS place FROM l)
+SELECT o.site, CAST(place AS INTEGER) AS place, o.term, score, CAST(round_even(100.0 * score / max(score) OVER (PARTITION BY o.site), 0) AS INTEGER) AS prominence, zones, 0::BIGINT AS body_count FROM o JOIN d ON d.site = o.site AND d.term = o.term""",
+    "title_concentration": rf"""WITH p AS (SELECT page_id, coalesce({_ND}, '') AS site, list_filter(list_transform(string_split(regexp_replace(title, '(?i)\s*[|»:]\s+|\s+[-–—·]\s+|\s+by\s+', chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS parts FROM pages WHERE title IS NOT NULL AND trim(title) <> ''),
+n AS (SELECT site, count(*) AS total FROM p GROUP BY 1 HAVING count(*) >= 10), e AS (SELECT site, unnest([lower(parts[1]), lower(parts[-1])]) AS seg FROM p WHERE len(parts) >= 2),
+b AS (SELECT site, seg FROM e JOIN n USING (site) GROUP BY site, seg, total HAVING count(*) >= greatest(3.0, total * 0.4)), g AS (SELECT p.site, total, page_id, unnest(parts) AS part FROM p JOIN n USING (site)),
+o AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.site = g.site AND b.seg = lower(part))), f AS (SELECT site, total, page_id, unnest({_phrases('part')}) AS phrase FROM o),
+c AS (SELECT site, total, phrase, count(DISTINCT page_id) AS n FROM f WHERE phrase LIKE '% %' AND phrase NOT LIKE '% % %' GROUP BY ALL HAVING count(DISTINCT page_id) < total * 0.9),
+t AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, length(phrase), phrase) AS rn FROM c) SELECT site, phrase, n AS n_pages, total FROM t WHERE rn = 1 AND n >= 5 AND n >= total * 0.15""",
 }
