@@ -20,12 +20,15 @@ def markdown_rows(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, cols: list[str], most: int = 200) -> str:
-    """A small report table as Markdown; for top-k results."""
-    lines = [r["value"] for r in markdown_rows(df.limit(most), cols).collect()]
-    return "\n".join(["| " + " | ".join(cols) + " |", "|" + "---|" * len(cols), *lines])
+    """A small report table as Markdown, for top-k results; a longer one says that it goes on (:func:`markdown_rows` writes all)."""
+    lines = [r["value"] for r in markdown_rows(df.limit(most + 1), cols).collect()]
+    more = [f"\nMore than {most} rows; the first are shown."] if len(lines) > most else []
+    return "\n".join(["| " + " | ".join(cols) + " |", "|" + "---|" * len(cols), *lines[:most], *more])
 
 
 def html_table(df: DataFrame, cols: list[str], most: int = 200) -> str:
     """A small report table as HTML; for top-k results."""
     cells = lambda xs, tag: "<tr>" + "".join(f"<{tag}>{_html.escape('' if x is None else str(x))}</{tag}>" for x in xs) + "</tr>"
-    return "<table>" + cells(cols, "th") + "".join(cells([r[c] for c in cols], "td") for r in df.select(*cols).limit(most).collect()) + "</table>"
+    rows = df.select(*cols).limit(most + 1).collect()
+    more = f"<p>More than {most} rows; the first are shown.</p>" if len(rows) > most else ""
+    return "<table>" + cells(cols, "th") + "".join(cells([r[c] for c in cols], "td") for r in rows[:most]) + "</table>" + more

@@ -1,5 +1,5 @@
 """The modules whose QUERIES and SQL make up the core's queries."""
 
-from sitelode.plans import pages, probes, records, serp, site, texts
+from sitelode.plans import pages, probes, records, reports, serp, site, texts
 
-MODULES = [records, serp, pages, texts, site, probes]
+MODULES = [records, serp, pages, texts, site, probes, reports]

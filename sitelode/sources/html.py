@@ -247,11 +247,14 @@ def absolute_links(df: DataFrame, base_col: str, links_col: str) -> DataFrame:
     return df.withColumn("absolute", joined(F.col(base_col), F.col(links_col)))
 
 
+_GAPS = re.compile(r"[ \t\n\r\f]+")
+
+
 def srcset_candidates(value: str) -> list[tuple[str, str]]:
     """(URL, descriptor) of a srcset; commas inside URLs are part of them."""
     out, rest = [], value.lstrip(" \t\n\r\f,")
     while rest:
-        url, _, rest = rest.partition(" ") if " " in rest else (rest, "", "")
+        url, rest = (*_GAPS.split(rest, maxsplit=1), "")[:2]
         if url.endswith(","):
             out.append((url.rstrip(","), ""))
         else:
@@ -262,7 +265,13 @@ def srcset_candidates(value: str) -> list[tuple[str, str]]:
             out.append((url, rest[:i].strip()))
             rest = rest[i + 1 :]
         rest = rest.lstrip(" \t\n\r\f,")
-    return [(u, d) for u, d in out if u]
+    return [(u, d) for u, d in out if u and not u.lower().startswith("data:")]
+
+
+def srcset_weight(descriptor: str) -> float:
+    """How large a candidate is: its width, or its density as thousands of pixels; without one the density is 1."""
+    m = re.fullmatch(r"([0-9]*\.?[0-9]+)([wx])", descriptor.strip().lower())
+    return 1000.0 if not m else float(m.group(1)) * (1 if m.group(2) == "w" else 1000)
 
 
 def image_size(body: bytes) -> tuple[int, int] | None:

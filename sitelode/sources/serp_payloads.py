@@ -33,7 +33,7 @@ def number(v):
 
 def integer(v):
     n = number(v)
-    return int(n) if n is not None and n == n and abs(n) < 2**31 else None
+    return int(n) if n is not None and n == n and abs(n) < 2**63 else None
 
 
 def text(v):
@@ -46,9 +46,9 @@ def detect(value) -> str:
         return "list" if value and all(isinstance(x, dict) and detect(x) != "foreign" for x in value) else "foreign"
     if not isinstance(value, dict):
         return "foreign"
-    if any(k in value for k in ("organic_results", "search_parameters", "local_results")):
-        return "serpapi"
-    return "dataforseo" if "tasks" in value or "items" in value else "foreign"
+    if isinstance(value.get("tasks"), list) or (isinstance(value.get("items"), list) and ("keyword" in value or "se_domain" in value)):
+        return "dataforseo"
+    return "serpapi" if any(k in value for k in ("organic_results", "search_parameters", "local_results")) else "foreign"
 
 
 def _host(url) -> str:
@@ -120,13 +120,13 @@ def rows_of(value) -> Iterator[tuple]:
         yield ("error", None, None, None, None, None, "foreign payload", None, None)
 
 
-ROWS = "seq int, kind string, query string, engine string, position int, url string, domain string, title string, rating double, reviews int"
+ROWS = "seq int, kind string, query string, engine string, position long, url string, domain string, title string, rating double, reviews long"
 
 
 def flat_rows(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """(id, seq, kind, query, engine, position, url, domain, title, rating, reviews) of every payload; bad ones as kind 'error'."""
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *T._parse_datatype_string(ROWS)])
-    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32()]
+    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
