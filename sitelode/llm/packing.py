@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Containers in a block, about; bounds a task's work and wastes at most about one container in so many.
 BLOCK_CONTAINERS = 128
+#: Items in a block, about, however small they are.
+BLOCK_ITEMS = 50_000
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -88,19 +90,14 @@ def _relieve(sizes: list[int], windows: list[list[int]], capacity: int) -> bool:
     return True
 
 
-def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of item indexes, none above the capacity. No size may be above it."""
-    real = [i for i, s in enumerate(sizes) if s > 0]
-    total = sum(sizes)
-    k = max(1, -(-total // capacity))
+def pack_block(sizes: list[int], capacity: int, *, pass_on: bool = True) -> list[list[int]]:
+    """Windows of item indexes, none above the capacity. Sizes lie between 1 and the capacity; ``pass_on`` is the addition to the method."""
+    k = max(1, -(-sum(sizes) // capacity))
     while True:
-        windows = [[real[i] for i in w] for w in differencing([sizes[i] for i in real], k)]
-        if _relieve(sizes, windows, capacity):
-            break
+        windows = differencing(sizes, k)
+        if all(sum(sizes[i] for i in w) <= capacity for w in windows) or (pass_on and _relieve(sizes, windows, capacity)):
+            return [w for w in windows if w]
         k += 1
-    windows = [w for w in windows if w] or [[]]
-    windows[0] += [i for i, s in enumerate(sizes) if s == 0]
-    return windows
 
 
 OUT = "profile_id int, capacity_tokens int, container_id string, item_id long, piece_no int, start_token long, n_tokens long"
@@ -125,18 +122,21 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, profiles: dict[int, int])
     caps = sorted(profiles.items())
     if not caps:
         return sizes.sparkSession.createDataFrame([], OUT)
-    rests = sizes.agg(*(F.coalesce(F.sum(F.col(size_col) % cap), F.lit(0)).alias(f"s{i}") for i, (_, cap) in enumerate(caps))).first()
-    plans = [F.struct(F.lit(p).cast("int").alias("profile_id"), F.lit(cap).cast("int").alias("capacity_tokens"), F.lit(max(1, -(-rests[i] // (cap * BLOCK_CONTAINERS)))).cast("long").alias("blocks")) for i, (p, cap) in enumerate(caps)]
+    rests = sizes.agg(*(F.coalesce(F.sum(F.col(size_col) % cap), F.lit(0)).alias(f"s{i}") for i, (_, cap) in enumerate(caps)), F.count("*").alias("n")).first()
+    least = -(-rests["n"] // BLOCK_ITEMS)
+    plans = [F.struct(F.lit(p).cast("int").alias("profile_id"), F.lit(cap).cast("int").alias("capacity_tokens"), F.lit(max(1, least, -(-rests[i] // (cap * BLOCK_CONTAINERS)))).cast("long").alias("blocks")) for i, (p, cap) in enumerate(caps)]
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
     items = sizes.select(F.col(id_col).cast("long").alias("item_id"), size.alias("size"), F.explode(F.array(*plans)).alias("x")).select("item_id", "size", "x.*")
     cap = F.col("capacity_tokens").cast("long")
     whole = F.expr("size div capacity_tokens")
     full = items.where(whole > 0).select("profile_id", "capacity_tokens", "item_id", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("i"))
     full = full.select("profile_id", "capacity_tokens", F.concat(F.lit("i"), F.col("item_id"), F.lit("-"), F.col("i")).alias("container_id"), "item_id", F.col("i").cast("int").alias("piece_no"), (F.col("i") * cap).alias("start_token"), cap.alias("n_tokens"))
-    rest = items.where((F.col("size") % cap > 0) | (F.col("size") == 0)).select(
-        "profile_id", "capacity_tokens", F.pmod(F.xxhash64("item_id"), F.col("blocks")).alias("block"), "item_id", whole.cast("int").alias("piece_no"), (whole * cap).alias("start_token"), (F.col("size") % cap).alias("n")
-    )
-    return full.unionByName(rest.groupBy("profile_id", "capacity_tokens", "block").applyInArrow(_pack_group, OUT))
+    block = F.pmod(F.xxhash64("item_id"), F.col("blocks"))
+    rest = items.where(F.col("size") % cap > 0).select("profile_id", "capacity_tokens", block.alias("block"), "item_id", whole.cast("int").alias("piece_no"), (whole * cap).alias("start_token"), (F.col("size") % cap).alias("n"))
+    # Items without size lie in the first container of their block; they need no task.
+    zero = F.lit(0).cast("long")
+    blank = items.where("size = 0").select("profile_id", "capacity_tokens", F.concat(F.lit("b"), block, F.lit("-0")).alias("container_id"), "item_id", F.lit(0).alias("piece_no"), zero.alias("start_token"), zero.alias("n_tokens"))
+    return full.unionByName(rest.groupBy("profile_id", "capacity_tokens", "block").applyInArrow(_pack_group, OUT)).unionByName(blank)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

@@ -53,6 +53,12 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.copy_groups(_results(spark, sf_dir)[0]).select(F.col("kept").alias("kept_id"), "n_copies")
 
 
+def p3_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of results that 128 bits alone would have made one: how many, and how many groups and rows there are."""
+    by_hash = copies.copy_groups(_results(spark, sf_dir)[0]).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.sum("n_copies").alias("rows"))
+    return by_hash.agg(F.sum("n").alias("n_groups"), F.sum("rows").alias("n_rows"), F.count_if(F.col("n") > 1).alias("n_collisions"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results left out so that no domain has more than a hundredth of all rows."""
     position = F.when(F.col("position") >= 1, F.col("position"))
@@ -76,6 +82,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text with the byte where each begins."""
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", offsets=True)
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as its ids decode; that is the text itself, and the empty one for null."""
+    return tokens.decode_corpus(p7_ids(spark, sf_dir), "doc_id")
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = cut(tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "token-counts")
     # packing_profiles is a fixed table of three rows.
@@ -103,7 +119,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.redact(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_lexicon"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_type_ngrams, p3_found, p3_groups, p4_found, p5_found, p5_clean_pages, p7_ids, p8_containers, p8_fill, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_type_ngrams, p3_found, p3_groups, p3_collisions, p4_found, p5_found, p5_clean_pages, p7_ids, p7_offsets, p7_decoded, p8_containers, p8_fill, p9_found, p9_redacted)}
 
 SQL = {
     "p1_terms": r"""
@@ -124,6 +140,8 @@ k AS (SELECT organic_id, serp_id, d, regexp_replace(lower(CASE WHEN q > 0 THEN u
  CASE WHEN q > 0 THEN array_to_string(list_sort(list_filter(string_split(regexp_replace(lower(url[q + 1:]), '[^\p{L}\p{N}&]+', '', 'g'), '&'), lambda x: x <> '')), '&') ELSE '' END AS p FROM r),
 g AS (SELECT organic_id, min(organic_id) OVER w AS kept_id, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY serp_id, d, h, p))"""
 SQL["p3_found"] = _CANON + " SELECT kept_id, organic_id AS copy_id FROM g WHERE organic_id <> kept_id"
+SQL["p7_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+SQL["p3_collisions"] = _CANON + " SELECT count(*) FILTER (organic_id = kept_id) AS n_groups, count(*) AS n_rows, 0::BIGINT AS n_collisions FROM g"
 SQL["p3_groups"] = _CANON + " SELECT kept_id, count(*) AS n_copies FROM g GROUP BY kept_id"
 SQL["p1_type_ngrams"] = r"""
 WITH s AS (SELECT page_id, schema_types AS a, unnest(range(1, len(schema_types) + 1)) AS i FROM pages),

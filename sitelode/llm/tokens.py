@@ -145,6 +145,7 @@ class Encoder:
     def __init__(self, vocabulary: bytes) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self._lengths: np.ndarray | None = None
         self.cache: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -211,6 +212,15 @@ class Encoder:
         sizes = [len(self.bytes_of[i]) for i in ids]
         return ids, [0, *np.cumsum(sizes).tolist()][:-1] if ids else []
 
+    @property
+    def byte_lengths(self) -> np.ndarray:
+        """How many bytes each id stands for."""
+        if self._lengths is None:
+            self._lengths = np.zeros(max(self.bytes_of, default=-1) + 1, np.int64)
+            for i, b in self.bytes_of.items():
+                self._lengths[i] = len(b)
+        return self._lengths
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids."""
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
@@ -246,10 +256,11 @@ def read_vocabulary(spark: SparkSession, path: str = VOCABULARY):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, ids) of every text, in one pass without a shuffle."""
+def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, *, offsets: bool = False) -> DataFrame:
+    """(id, ids) of every text, in one pass without a shuffle; with ``offsets`` also ``starts``, where each id begins in the text's UTF-8 form."""
     shared = read_vocabulary(df.sparkSession, vocabulary)
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    names = ["ids", "starts"] if offsets else ["ids"]
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
@@ -259,12 +270,31 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = V
                 ids = encoder.encode(texts[a:b])
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.fromiter((x for own in ids for x in own), np.int32, int(sizes.sum()))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], [id_col, "ids"])
+                edges = np.concatenate([[0], np.cumsum(sizes)])
+                columns = [flat]
+                if offsets:
+                    # Ids are laid out one after the other, so a text's offsets are running sums from its first id on.
+                    before = np.concatenate([[0], np.cumsum(encoder.byte_lengths[flat])])
+                    columns.append((before[:-1] - np.repeat(before[edges[:-1]], sizes)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(c)) for c in columns]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], [id_col, *names])
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def decode_corpus(df: DataFrame, id_col: str, ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id, text) of the texts that ids stand for; null ids are the empty text."""
+    shared = read_vocabulary(df.sparkSession, vocabulary)
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.string())], schema.names)
+
+    return df.select(id_col, ids_col).mapInArrow(run, schema)
+
+
 def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, n_tokens) of every text."""
     shared = read_vocabulary(df.sparkSession, vocabulary)

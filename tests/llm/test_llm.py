@@ -15,9 +15,38 @@ def test_sql(spark, small, name):
     same(spark, small, queries.QUERIES[name], queries.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
-def test_runs(spark, small, name):
-    assert queries.QUERIES[name](spark, small).count() >= 0
+def _rows(spark, small, name):
+    return [r.asDict() for r in queries.QUERIES[name](spark, small).collect()]
+
+
+def test_queries_without_sql(spark, small):
+    """What holds of their rows whatever the tables are."""
+    documents = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    pages = {r["page_id"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    held, clean = ([r["page_id"] for r in _rows(spark, small, n)] for n in ("p5_found", "p5_clean_pages"))
+    assert len(held) + len(clean) == len(pages) and set(held) | set(clean) == pages and held
+    ids = {r["doc_id"]: r for r in _rows(spark, small, "p7_offsets")}
+    assert set(ids) == set(documents) and all(len(r["ids"]) == len(r["starts"]) and r["starts"] == sorted(r["starts"]) and (r["starts"][:1] or [0]) == [0] for r in ids.values())
+    assert {r["doc_id"]: r["ids"] for r in _rows(spark, small, "p7_ids")} == {i: r["ids"] for i, r in ids.items()}
+    packed, fill = _rows(spark, small, "p8_containers"), {r["profile_id"]: r for r in _rows(spark, small, "p8_fill")}
+    for profile in {r["profile_id"] for r in packed}:
+        own = [r for r in packed if r["profile_id"] == profile]
+        load, size = Counter(), Counter()
+        for r in own:
+            load[r["container_id"]] += r["n_tokens"]
+            size[r["doc_id"]] += r["n_tokens"]
+        assert size == {i: len(r["ids"]) for i, r in ids.items()} and max(load.values()) <= own[0]["capacity_tokens"]
+        assert fill[profile]["n_containers"] == len(load) and fill[profile]["n_tokens"] == sum(load.values()) and fill[profile]["used_share"] > 0.6
+    spans = defaultdict(list)
+    for r in _rows(spark, small, "p9_found"):
+        spans[r["doc_id"]].append((r["start_char"], r["end_char"], r["kind"]))
+    for r in _rows(spark, small, "p9_redacted"):
+        text, at, want = documents[r["doc_id"]], 0, ""
+        for a, b, kind in sorted(spans[r["doc_id"]]):
+            assert a >= at and b > a
+            want, at = want + text[at:a] + f"[{kind.upper()}]", b
+        assert r["text"] == (None if text is None else want + text[at:])
+    assert set(queries.QUERIES) - set(queries.SQL) == {"p5_found", "p5_clean_pages", "p7_ids", "p7_offsets", "p8_containers", "p8_fill", "p9_found", "p9_redacted"}
 
 
 # -- frequency
@@ -224,6 +253,14 @@ def test_offsets_and_round_trip(encoder):
         assert all(t.encode()[a : a + len(encoder.bytes_of[i])] == encoder.bytes_of[i] for i, a in zip(ids, offsets))
 
 
+def test_offsets_of_a_corpus(spark, encoder):
+    texts = ["don't  stop\n日本語 ok", None, "", "🏔️ x", "a" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for r in tokens.encode_corpus(df, "id", "text", offsets=True).collect():
+        assert (r["ids"], r["starts"]) == encoder.encode_with_offsets(texts[r["id"]] or "")
+    assert {r["id"]: r["text"] for r in tokens.decode_corpus(tokens.encode_corpus(df, "id", "text"), "id").collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
 def test_null_and_empty_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "id int, text string").withColumn("ids", F.lit("clash"))
     assert {r["id"]: len(r["ids"]) for r in tokens.encode_corpus(df, "id", "text").collect()} == {1: 0, 2: 0, 3: 2}
@@ -255,6 +292,23 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), "id", "n", {1: 10}).count() == 0 and packing.pack(df, "id", "n", {}).count() == 0
 
 
+def test_items_without_size_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 100)
+    df = spark.range(5_000).select("id", F.when(F.col("id") % 1_000 == 1, 7).when(F.col("id") % 2 == 0, None).otherwise(0).cast("long").alias("n"))
+    out = packing.pack(df, "id", "n", {1: 10})
+    assert out.count() == 5_000 and out.where("n_tokens = 7").count() == 5 and out.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where("n > 10").count() == 0
+    assert out.select("container_id").distinct().count() > 40
+
+
+def test_passing_on_saves_containers():
+    random.seed(2)
+    sizes = [random.randint(1, 60) for _ in range(300)]
+    plain, passed = (packing.pack_block(sizes, 100, pass_on=x) for x in (False, True))
+    for windows in (plain, passed):
+        assert sorted(i for w in windows for i in w) == list(range(300)) and max(sum(sizes[i] for i in w) for w in windows) <= 100
+    assert len(passed) <= len(plain)
+
+
 def test_differencing_is_near_equal():
     windows = packing.differencing([8, 7, 6, 5, 4], 2)
     assert sorted(i for w in windows for i in w) == list(range(5)) and abs(sum([8, 7, 6, 5, 4][i] for i in windows[0]) - 15) <= 1
