@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelode.functions import text, urls
+from sitelode.operators import listings
 from sitelode.session import table
+from sitelode.sources import result_pages
 
 TOP = 15
 SHORTLIST = 8
@@ -164,7 +166,21 @@ def stop_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("user_id").agg(F.count("*").alias("n_kept"))
 
 
-QUERIES = {f.__name__: f for f in (domain_tally, organic_top_rows, domain_positions, classified_domains, shortlist, own_domains, query_list, not_captured, local_pack_tally, engine_share, stop_rule)}
+def result_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as blocks of a result page each and read again."""
+    o = table(spark, sf_dir, "serp_organic").where("url rlike '^https?://'")
+    less = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    page = F.concat(F.lit('<section id="mixed-main"><div data-type="web" data-pos="'), "seq", F.lit('"><a href="'), less(F.col("url")), F.lit('"><b class="title">'), less(F.col("title")), F.lit("</b></a><img></div></section>"))
+    rows = result_pages.flat_rows(o.select("organic_id", page.alias("html")), "organic_id", "html")
+    return rows.select("organic_id", "kind", "parse_mode", "position", "url", "title", "slot")
+
+
+def ordered_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of local packs in the order of a report."""
+    return listings.ordered_places(local_pack_tally(spark, sf_dir)).select("place", "n_queries", "best_pos")
+
+
+QUERIES = {f.__name__: f for f in (result_page_rows, ordered_places, domain_tally, organic_top_rows, domain_positions, classified_domains, shortlist, own_domains, query_list, not_captured, local_pack_tally, engine_share, stop_rule)}
 
 _ND = r"regexp_replace(regexp_replace(regexp_extract(lower(regexp_replace({0}, '^[\s ]+|[\s ]+$', '', 'g')), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:@]*)', 1), '^\.+|\.+$', '', 'g'), '^www\.', '')"
 _TOP = rf"""
@@ -199,6 +215,9 @@ _EXTRA = [f"{e}.com" if "." not in e else e for _, own in CLASSES for e in own]
 _NAMED = f"(SELECT *, string_split(name, '-') AS words FROM (SELECT *, {_NAME} AS name FROM (SELECT *, string_split(domain, '.') AS p FROM {{0}})))"
 
 SQL = {
+    "result_page_rows": r"""WITH o AS (SELECT organic_id, seq, regexp_replace(url, '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS url, coalesce(title, '') AS title, coalesce(lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM serp_organic WHERE regexp_matches(url, '^https?://'))
+SELECT organic_id, 'organic' AS kind, 'blocks' AS parse_mode, 1 AS position, url, CASE WHEN trim(title) = '' THEN '' ELSE array_to_string(list_filter(regexp_split_to_array(title, '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> ''), ' ') END AS title, seq AS slot
+FROM o WHERE host <> '' AND NOT regexp_matches(host, '(^|\.)(brave\.com|brave\.app|w3\.org|hackerone\.com)$') AND NOT regexp_matches(lower(path), '\.(png|jpe?g|gif|webp|avif|svg|ico|css|js|mjs|woff2?|ttf|otf|eot|mp4|webm|json|xml|webmanifest|map)$')""",
     "organic_top_rows": f"WITH {_TOP} SELECT serp_id, CAST(rn AS INTEGER) AS rn, organic_id, url, position FROM top",
     "domain_tally": f"WITH {_TALLY} SELECT * FROM tally",
     "domain_positions": f"WITH {_TOP} SELECT dom AS domain, lower(query) AS query_key, count(*) AS n_results, min(position) AS best_pos, count(DISTINCT position) AS n_positions FROM top WHERE dom <> '' GROUP BY ALL",
@@ -218,3 +237,4 @@ SELECT engine_key, parse_mode, count(*) AS n_records, CAST(sum(coalesce(n, 0)) A
 s AS (SELECT user_id, min({'ts': ts, 'id': event_id}) FILTER (failed AND before) AS stop FROM e GROUP BY 1)
 SELECT user_id, count(*) AS n_kept FROM e JOIN s USING (user_id) WHERE stop IS NULL OR {'ts': ts, 'id': event_id} < stop GROUP BY 1""",
 }
+SQL["ordered_places"] = f"SELECT place, n_queries, best_pos FROM ({SQL['local_pack_tally']})"

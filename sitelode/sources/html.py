@@ -154,6 +154,33 @@ def structured(blocks: list[str]) -> tuple[list[str], int, int]:
     return list(seen), valid, invalid
 
 
+#: Members of structured data that name no topic, fixed values.
+NO_TOPIC = frozenset(("@context", "@type", "@id", "url", "image", "logo", "sameas", "contenturl", "thumbnailurl", "pricecurrency", "datepublished"))
+
+
+def schema_text(blocks: list[str]) -> str:
+    """The texts that structured data states about its subject: strings under 300 characters that are no address."""
+    found = []
+    for raw in blocks:
+        try:
+            value = json.loads(raw)
+        except (ValueError, RecursionError):
+            continue
+        for node in nodes(value):
+            found += [v for k, v in node.items() if isinstance(v, str) and k.lower() not in NO_TOPIC and not v.startswith("http") and len(v) < 300]
+    return " ".join(found)
+
+
+def with_schema_text(df: DataFrame, blocks: str = "doc.jsonld") -> DataFrame:
+    """``df`` with ``schema_text`` of its structured data, a zone for key phrases."""
+
+    @F.pandas_udf("string")
+    def told(col):
+        return col.map(lambda own: schema_text(list(own)) if own is not None else "")
+
+    return df.withColumn("schema_text", told(F.col(blocks)))
+
+
 def parse(text: str | None) -> dict:
     """The record of one document; null and empty documents have empty fields."""
     doc = _Document()
