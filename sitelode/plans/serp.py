@@ -215,7 +215,7 @@ _EXTRA = [f"{e}.com" if "." not in e else e for _, own in CLASSES for e in own]
 _NAMED = f"(SELECT *, string_split(name, '-') AS words FROM (SELECT *, {_NAME} AS name FROM (SELECT *, string_split(domain, '.') AS p FROM {{0}})))"
 
 SQL = {
-    "result_page_rows": r"""WITH o AS (SELECT organic_id, seq, regexp_replace(url, '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS url, coalesce(title, '') AS title, coalesce(lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM serp_organic WHERE regexp_matches(url, '^https?://'))
+    "result_page_rows": r"""WITH o AS (SELECT organic_id, seq, regexp_replace(url, '^[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g') AS url, coalesce(title, '') AS title, coalesce(lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM serp_organic WHERE regexp_matches(url, '^https?://'))
 SELECT organic_id, 'organic' AS kind, 'blocks' AS parse_mode, 1 AS position, url, CASE WHEN trim(title) = '' THEN '' ELSE array_to_string(list_filter(regexp_split_to_array(title, '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> ''), ' ') END AS title, seq AS slot
 FROM o WHERE host <> '' AND NOT regexp_matches(host, '(^|\.)(brave\.com|brave\.app|w3\.org|hackerone\.com)$') AND NOT regexp_matches(lower(path), '\.(png|jpe?g|gif|webp|avif|svg|ico|css|js|mjs|woff2?|ttf|otf|eot|mp4|webm|json|xml|webmanifest|map)$')""",
     "organic_top_rows": f"WITH {_TOP} SELECT serp_id, CAST(rn AS INTEGER) AS rn, organic_id, url, position FROM top",
