@@ -11,8 +11,8 @@ from sitelode.session import table
 
 #: Weight of a zone, and how often it counts a phrase in one text, fixed values.
 ZONES = {"title": (5, 2), "h1": (4, 2), "heading": (3, 3), "meta": (3, 2), "url": (2, 2), "schema": (2, 2), "body": (1, 6)}
-#: The rule on near-duplicate pages takes six words.
-SHINGLE_WORDS = 6
+#: The audit's rule on boilerplate takes six words, near-duplicates five.
+SHINGLE_WORDS, NEAR_WORDS = 6, 5
 NEAR = 0.8
 
 
@@ -62,7 +62,7 @@ def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _all_shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, without the audit rule's length; those without a source or language are groups of their own."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.coalesce("source", F.lit("")).alias("site"), F.coalesce("lang", F.lit("")).alias("lang"), "doc_id", text.any_shingles("text", SHINGLE_WORDS).alias("s"))
+    return d.select(F.coalesce("source", F.lit("")).alias("site"), F.coalesce("lang", F.lit("")).alias("lang"), "doc_id", text.any_shingles("text", NEAR_WORDS).alias("s"))
 
 
 def shingle_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ s AS (SELECT site, lang, doc_id, list_distinct(list_transform(range(1, len(w) -
 #: The shingles of every document: characters of scripts without spaces are words of their own.
 _ALL = r"""w AS (SELECT coalesce(source, '') AS site, coalesce(lang, '') AS lang, doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}'']+') AS w,
 trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t FROM documents),
-s AS (SELECT site, lang, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 6 THEN list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i:i + 5], ' ')) WHEN len(w) > 0 THEN w WHEN t <> '' THEN [t] ELSE [] END)) AS s FROM w),
+s AS (SELECT site, lang, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN w WHEN t <> '' THEN [t] ELSE [] END)) AS s FROM w),
 k AS (SELECT site, lang, s, min(doc_id) AS id FROM s GROUP BY ALL), e AS (SELECT site, lang, id, len(s) AS n, unnest(s) AS h FROM k),
 j AS (SELECT a.site, a.lang, a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.site = b.site AND a.lang = b.lang AND a.h = b.h AND a.id < b.id GROUP BY ALL),
 x AS (SELECT site, lang, a, b, round(c::DOUBLE / (na + nb - c), 6) AS similarity FROM j WHERE c::DOUBLE / (na + nb - c) >= 0.8)"""

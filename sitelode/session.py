@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +49,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut_tables() -> None:
-    """Removes every table that :func:`cut` wrote."""
-    while _written:
+def drop_cut_tables(keep: int = 0) -> None:
+    """Removes every table that :func:`cut` wrote, but for the first ``keep``."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
@@ -62,6 +64,19 @@ def drop_cut_tables() -> None:
 atexit.register(drop_cut_tables)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Owns the tables that :func:`cut` writes inside: they are removed at its end, when the results have been written.
+
+    A driver that lives long puts each job into one, so that the shared folder doesn't fill.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        drop_cut_tables(before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the project's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,8 +14,12 @@ def read_results(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def domain_windows(results: DataFrame, *, window: str = "1 day", late: str = "7 days") -> DataFrame:
-    """Appearances and visibility of each domain in windows of capture time; rows later than ``late`` are dropped, and deliveries that come again count once."""
+def domain_windows(results: DataFrame, *, window: str = "1 day", late: str = "120 days") -> DataFrame:
+    """Appearances and visibility of each domain in windows of capture time; deliveries that come again count once.
+
+    A row is counted if it comes no later than ``late`` after the newest capture seen; deliveries lag by up to eleven weeks,
+    so the default leaves room. A window is written when it can get no more rows.
+    """
     rows = results.withWatermark("captured_at", late).dropDuplicatesWithinWatermark(["organic_id"])
     own = rows.withColumn("domain", urls.normalize_domain("domain")).where("domain <> ''")
     by = own.groupBy(F.window("captured_at", window).alias("w"), "domain").agg(F.count("*").alias("appearances"), F.sum(text.visibility("position")).cast("double").alias("score"), F.min(F.when(F.col("position") > 0, F.col("position"))).alias("best_pos"))

@@ -192,3 +192,17 @@ def test_console(spark):
     assert {(r["property"], r["title"]) for r in got} == {("p", "GA4 event data retention is TWO_MONTHS"), ("p", "No GA4 key event for leads"), ("p", "No sitemap submitted to Search Console")}
     props = spark.createDataFrame([("https://x.test/",), ("sc-domain:x.test",), ("sc-domain:a.x.test",)], "property string")
     assert console.pick_search_property(props, "a.x.test").first()["property"] == "sc-domain:x.test"
+
+
+def test_scratch_tables_have_an_owner(spark, tmp_path):
+    import glob
+
+    from sitelode import session
+
+    at = lambda: set(glob.glob(f"{session.shared_dir(spark)}/sitelode/*"))
+    outside = session.cut(spark.range(3), "outside")
+    before = at()
+    with session.scratch():
+        session.cut(spark.range(5), "inside").write.parquet(f"{tmp_path}/out")
+        assert len(at() - before) == 1
+    assert at() == before and outside.count() == 3 and spark.read.parquet(f"{tmp_path}/out").count() == 5

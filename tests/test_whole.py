@@ -43,7 +43,7 @@ def test_agent_findings_follow_from_every_event(spark, small):
     assert Counter(map(tuple, got)) == want
 
 
-def _shingle_set(text, k=6):
+def _shingle_set(text, k=5):
     """Runs of words or, in scripts without spaces, characters; a shorter text's words; the text itself if it has none."""
     words, word = [], ""
     for c in (text or "").lower() + " ":
@@ -84,7 +84,7 @@ DOCS = [
 def test_every_document_has_a_class(spark, small, tmp_path):
     spark.createDataFrame(DOCS, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in texts.near_duplicate_classes(spark, str(tmp_path)).collect()}
-    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 0), 5: (4, 0), 6: (6, 0), 7: (7, 0), 8: (7, 0), 9: (9, 0), 10: (10, 1), 11: (10, 1), 12: (12, 1), 13: (13, 0), 14: (14, 0), 15: (15, 0)}
+    assert got == {1: (1, 0), 2: (1, 0), 3: (3, 0), 4: (4, 0), 5: (4, 0), 6: (6, 0), 7: (7, 0), 8: (7, 0), 9: (9, 0), 10: (10, 1), 11: (10, 1), 12: (12, 1), 13: (13, 0), 14: (14, 0), 15: (15, 0)}
     for d in (str(tmp_path), small):
         classes, pairs = _near(column(spark, d, "documents", "doc_id", "text", "lang", "source"))
         assert Counter(map(tuple, texts.near_duplicate_classes(spark, d).select("doc_id", "class_id", "n_links").collect())) == classes
