@@ -61,10 +61,22 @@ def words(value: Column, kind: T.DataType) -> list[Column]:
     return [_unsigned(F.coalesce(value.cast("long"), F.lit(0)))]
 
 
-def encoded(df: DataFrame, key: Column, score: Column, id_col: str, *, best: str = "low") -> tuple[DataFrame, int]:
-    """(k, w0, w1, ..., id) of each record, and the number of words: null scores last, then the score, then the id."""
+#: Types whose null scores are the value after the last one, which takes no word of its own.
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def encoded(df: DataFrame, key: Column, score: Column, id_col: str, *, best: str = "low", ends: tuple | None = None) -> tuple[DataFrame, int]:
+    """(k, w0, w1, ..., id) of each record, and the number of words: null scores last, then the score, then the id.
+
+    ``ends`` are the least and the greatest score of all, if known.
+    """
     kinds = df.select(score.alias("s"), F.col(id_col).alias("i")).schema
     own = df.select(key.alias("k"), score.alias("_s"), F.col(id_col).alias("id"))
+    beyond = None if ends is None or ends[0] is None or not isinstance(kinds["s"].dataType, _WHOLE) else ends[1] + 1 if best == "low" else ends[0] - 1
+    if beyond is not None and -(2**63) <= beyond < 2**63:
+        (value,) = words(F.coalesce(F.col("_s").cast("long"), F.lit(beyond)), T.LongType())
+        last = [F.bitwise_not(value) if best == "high" else value, *words(F.col("id"), kinds["i"].dataType)]
+        return own.select("k", *(w.alias(f"w{i}") for i, w in enumerate(last)), "id"), len(last)
     value = [F.bitwise_not(w) if best == "high" else w for w in words(F.col("_s"), kinds["s"].dataType)]
     if best == "high" and isinstance(kinds["s"].dataType, (T.FloatType, T.DoubleType)):
         missing = F.when(F.col("_s").isNull(), 2).when(F.isnan("_s"), 1).otherwise(0)
@@ -141,9 +153,9 @@ def over_cap(df: DataFrame, key: Column, score: Column, id_col: str, *, max_rows
     The best score is the lowest one, or the highest for ``best="high"``; it may be any number, a date, a time or a
     text. Give ``max_rows``, or ``max_share`` of all rows (rounded down).
     """
-    n_rows = df.count()
+    n_rows, *ends = df.agg(F.count("*"), F.min(score), F.max(score)).first()
     cap = max_rows if max_rows is not None else int(n_rows * max_share + 1e-9)
-    rows, n_words = encoded(df, key, score, id_col, best=best)
+    rows, n_words = encoded(df, key, score, id_col, best=best, ends=ends)
     if n_rows == 0:
         return rows.select("id").limit(0)
     if cap <= 0:
