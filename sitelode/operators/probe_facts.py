@@ -76,6 +76,14 @@ def share_image_facts(pages: DataFrame, images: DataFrame) -> DataFrame:
     return met.withColumns({"share_status": F.col("_i.status").cast("int"), "share_width": F.col("_i.width").cast("int"), "share_height": F.col("_i.height").cast("int")}).drop("_i")
 
 
+def hero_facts(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """What the priority image of a page answered (pages: final_url, hero as an absolute URL; images: url, status, hops, bytes)."""
+    own = images.groupBy("url").agg(F.max(F.struct("status", "hops", "bytes")).alias("_i"))
+    met = pages.join(own, pages["hero"] == own["url"], "left").drop(own["url"])
+    seen = {"hero_status": F.col("_i.status").cast("int"), "hero_hops": F.col("_i.hops").cast("int"), "hero_kb": F.expr("CAST(_i.bytes DIV 1024 AS INT)"), "hero_cross": F.when(F.col("_i").isNotNull(), ~urls.same_site("hero", "final_url"))}
+    return met.withColumns(seen).drop("_i")
+
+
 # -- sites ---------------------------------------------------------------------------------------------
 
 
@@ -161,6 +169,30 @@ def contact_facts(addresses: DataFrame, answers: DataFrame) -> DataFrame:
     return own.join(answers, "domain", "left").groupBy("site").agg(F.count_if(F.coalesce(dead, F.lit(False))).cast("int").alias("contact_dead"))
 
 
+def social_image_facts(images: DataFrame) -> DataFrame:
+    """Size and shape of each site's share image and icon (site, kind 'og' or 'favicon', status, bytes, width, height); only loaded ones tell."""
+    ok = F.col("status") == 200
+    of = lambda kind, value: F.max(F.when(ok & (F.col("kind") == kind), value))
+    return images.groupBy("site").agg(of("og", F.col("bytes")).cast("int").alias("og_bytes"), of("favicon", F.col("bytes")).cast("int").alias("favicon_bytes"), of("og", F.when(F.col("height") > 0, F.col("width") / F.col("height"))).alias("og_ratio"))
+
+
+def llms_link_facts(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """Dead and non-canonical links of a site's llms.txt (links: site, links array; targets: url, status, canonical); links that weren't captured tell nothing."""
+    each = links.select("site", F.explode("links").alias("url")).distinct()
+    known = targets.groupBy("url").agg(F.max(F.struct("status", "canonical")).alias("_t"))
+    met = each.join(known, "url")
+    dead = F.col("_t.status") >= 400
+    other = ~dead & (F.coalesce("_t.canonical", F.lit("")) != "") & (urls.norm_url("_t.canonical") != urls.norm_url("url"))
+    return met.groupBy("site").agg(F.count_if(dead).cast("int").alias("llms_dead"), F.count_if(F.coalesce(other, F.lit(False))).cast("int").alias("llms_noncanonical"))
+
+
+def duplicate_facts(sites: DataFrame, pairs: DataFrame, medians: DataFrame) -> DataFrame:
+    """near_pairs and median_unique of each site: its pairs of near-duplicates, and the least of its groups' medians of words of their own (site; site, ...; site, median_own)."""
+    n = pairs.groupBy("site").agg(F.count("*").cast("int").alias("near_pairs"))
+    low = medians.groupBy("site").agg(F.min("median_own").cast("int").alias("median_unique"))
+    return sites.select("site").distinct().join(n, "site", "left").join(low, "site", "left").withColumn("near_pairs", F.coalesce("near_pairs", F.lit(0)))
+
+
 def small_image_facts(images: DataFrame) -> DataFrame:
     """Images shown at 160 pixels or less: how many a site has, how many were measured, how many of those are heavy, and their mean size (site, width, status, bytes)."""
     small = images.where("width <= 160")

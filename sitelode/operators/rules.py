@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE_FACTS = {
-    "string": "site url final_url scheme title description lang canonical_host canonical_scheme canonical_path final_path final_host slug_path meta_robots x_robots refresh viewport content_encoding csp fetch_error snippet_words cache_control template",
+    "string": "site url final_url scheme title description lang canonical_host canonical_scheme canonical_path final_path final_host slug_path meta_robots x_robots refresh viewport content_encoding csp fetch_error cache_control template",
     "int": "status hops words h1_count heading_jumps h2_h4 internal_links imgs imgs_no_alt imgs_empty_alt imgs_no_size imgs_lazy imgs_legacy imgs_modern jsonld_blocks jsonld_invalid question_marks scripts script_tags blocking_scripts stylesheets elements body_bytes hops_trivial hreflangs missing_headers nosnippet_attrs title_sharers description_sharers repeated_sentences max_snippet hero_kb hero_status hero_hops google_fonts google_font_links font_kb share_width share_height share_status",
     "double": "elapsed_ms",
     "boolean": "client_rendered viewport_tag hreflang_self faq_schema mixed_content csp_missing nosnippet noarchive article_node dated is_home own_host_final hero_lazy hero_cross hero_srcset fonts_preconnect fonts_swap csp_blocks third_party_before_css has_share_image article_complete self_serving retired_types org_thin seen_template",
@@ -22,7 +22,7 @@ PAGE_FACTS = {
 SITE_FACTS = {
     "string": "site missing_trust missing_mail_auth today security_expires",
     "int": "robots_status robots_bytes robots_sitemaps sitemap_urls sitemap_with_lastmod sitemap_lastmods sitemap_future ai_blocked_search ai_blocked_train variant_http variant_other variant_down probe_status cert_days domain_days pages deep_pages linked_sample links_broken links_5xx links_redirect links_trivial links_noncanonical links_noindex thinner_targets orphan_templates head_failures agents agents_ok agents_refused_answer agents_refused_train descriptions descriptions_no_cta max_depth affiliate_pages analysed near_pairs median_unique rating_conflicts owned_sites owned_shared exposed_files llms_status llms_dead llms_noncanonical stale_assets assets sm_checked sm_redirects sm_dead sm_noindex sm_noncanonical refused_pages contact_dead og_bytes favicon_bytes head_bytes psi_status psi_score home_status analytics ua_only small_imgs small_checked small_heavy",
-    "boolean": "robots_html robots_found sitemap_found blocks_all probe_to_home contact_route any_text any_breadcrumb org_schema local_complete local_signals local_schema social_undeclared postal_found trust_seen dmarc dmarc_reports security_txt llms_format signal_search_no signal_input_no cdn_managed canonical_unlinked og_image og_title og_complete twitter_card title_cta description_cta og_ratio_bad psi_invalid",
+    "boolean": "robots_html robots_found sitemap_found blocks_all probe_to_home contact_route any_text any_breadcrumb org_schema local_complete local_signals local_schema social_undeclared postal_found trust_seen dmarc dmarc_reports security_txt llms_format signal_search_no signal_input_no cdn_managed canonical_unlinked og_image og_title og_complete twitter_card title_cta description_cta psi_invalid",
     "double": "og_ratio",
 }
 

@@ -155,3 +155,48 @@ def test_caveats(spark):
     df = reports(spark, r(10, True), r(25, True, sweep_count=4), r(31, True), r(10, False), r(None, True), r(0, True), r(12, None))
     got = {x["site"]: (x["ratio"], x["over_limit"], x["caveat"]) for x in report_features.score_caveats(df, ["feed"], F.col("site") == "s0").collect()}
     assert got == {"s1": (2.9, False, False), "s2": (3.1, True, True), "s3": (1.0, False, True), "s4": (None, False, None), "s5": (None, True, True), "s6": (1.2, False, None)}
+
+
+#: Facts that a fetch record states itself.
+GIVEN = {"fetch_error", "elapsed_ms"}
+
+
+def test_every_fact_has_a_producer():
+    import glob
+    from pathlib import Path
+
+    root = Path(rules.__file__).parents[1]
+    code = "".join(Path(f).read_text() for f in glob.glob(f"{root}/*/*.py") if not f.endswith("rules.py") and f"{root}/llm/" not in f)
+    names = {n for facts in (rules.PAGE_FACTS, rules.SITE_FACTS) for own in facts.values() for n in own.split()}
+    assert {n for n in names if f'"{n}"' not in code} == GIVEN
+
+
+def test_images_of_pages_and_sites(spark):
+    pages = spark.createDataFrame([("a", "https://a.test/", "https://cdn.test/h.jpg"), ("a", "https://a.test/2", "https://a.test/i.jpg"), ("a", "https://a.test/3", None)], "site string, final_url string, hero string")
+    images = spark.createDataFrame([("https://cdn.test/h.jpg", 200, 1, 400_000), ("https://a.test/i.jpg", 404, 0, None)], "url string, status int, hops int, bytes int")
+    got = {r["final_url"][-1]: (r["hero_status"], r["hero_hops"], r["hero_kb"], r["hero_cross"]) for r in probe_facts.hero_facts(pages, images).collect()}
+    assert got == {"/": (200, 1, 390, True), "2": (404, 0, None, False), "3": (None, None, None, None)}
+    social = spark.createDataFrame([("a", "og", 200, 700_000, 600, 600), ("a", "favicon", 200, 200_000, 32, 32), ("b", "og", 404, 9, 9, 9)], "site string, kind string, status int, bytes int, width int, height int")
+    facts = probe_facts.social_image_facts(social)
+    assert titles(facts.where("site = 'a'"), rules.S) == {"Share image is over 600 KB", "Favicon is 195 KB", "Aspect ratio 1.00:1 differs from the 1.91:1 social standard"} and not titles(facts.where("site = 'b'"), rules.S)
+
+
+def test_links_of_llms_files_and_duplicates(spark):
+    links = spark.createDataFrame([("a", ["https://a.test/1", "https://a.test/2", "https://a.test/3", "https://a.test/1"])], "site string, links array<string>")
+    targets = spark.createDataFrame([("https://a.test/1", 404, None), ("https://a.test/2", 200, "https://a.test/x"), ("https://a.test/9", 500, None)], "url string, status int, canonical string")
+    assert one(probe_facts.llms_link_facts(links, targets)) == {"site": "a", "llms_dead": 1, "llms_noncanonical": 1}
+    sites = spark.createDataFrame([("a",), ("b",), ("c",)], "site string")
+    facts = probe_facts.duplicate_facts(sites, spark.createDataFrame([("a", 1, 2)], "site string, a int, b int"), spark.createDataFrame([("a", 90), ("b", 100), ("b", 300)], "site string, median_own int"))
+    assert {s: titles(facts.where(F.col("site") == s), rules.S) for s in "abc"} == {"a": {"Near-duplicate pages within a template"}, "b": {"Template pages are mostly boilerplate"}, "c": set()}
+
+
+def test_local_and_social_presence(spark):
+    from sitelode.operators import site_checks
+
+    ld = json.dumps({"@type": "Restaurant", "name": "R", "telephone": "1", "address": "x", "url": "u"})
+    rows = [("a", 1, f'<a href="tel:1">t</a><script type="application/ld+json">{ld}</script>'), ("b", 2, '<a href="https://www.google.com/maps/x">m</a>'), ("c", 3, "<p>none</p>")]
+    pages = site_checks.with_nodes(html.parse_html(spark.createDataFrame(rows, "site string, page_id int, html string"), "html")).withColumn("links", F.col("doc.links"))
+    facts = site_checks.local_facts(pages)
+    assert {s: titles(facts.where(F.col("site") == s), rules.S) for s in "abc"} == {"a": {"LocalBusiness schema incomplete"}, "b": {"No LocalBusiness schema for a local business"}, "c": set()}
+    profiles = spark.createDataFrame([("a", False), ("a", True), ("b", False)], "site string, declared boolean")
+    assert {r["site"]: r["social_undeclared"] for r in site_checks.social_facts_of(profiles).collect()} == {"a": False, "b": True}

@@ -86,7 +86,7 @@ def test_stream_of_results(spark, tmp_path):
     rows = [(1, "A.test", 1, datetime(2024, 1, 1, 5)), (1, "A.test", 1, datetime(2024, 1, 1, 5)), (2, "a.test", 2, datetime(2024, 1, 1, 9)), (3, "b.test", 1, datetime(2024, 2, 1))]
     df = spark.createDataFrame(rows, "organic_id long, domain string, position int, captured_at timestamp")
     df.write.parquet(str(tmp_path / "in"))
-    stream = tally.domain_windows(tally.read_results(spark, str(tmp_path / "in"), df.schema))
+    stream = tally.domain_windows(tally.read_results(spark, str(tmp_path / "in"), df.schema), late="7 days")
     tally.write(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     got = {(r["domain"], r["appearances"], r["score"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert ("a.test", 2, 1.5) in got
