@@ -85,6 +85,13 @@ def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(links, ["site", "lang", "class_id"], "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def near_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions of any sites that are nearly the same, by the least page of each distinct one."""
+    p = table(spark, sf_dir, "pages").where("description is not null").select(F.lit("").alias("scope"), "page_id", text.any_shingles("description", NEAR_WORDS).alias("s"))
+    _, reps = near.classes(p, ["scope"], "page_id", "s")
+    return near.similar_classes(reps, ["scope"], NEAR).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 def boilerplate_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upper median of shingles that are a text's own: not in max(2, 80 %) of its group's texts."""
     d = _shingled(spark, sf_dir)
@@ -128,7 +135,7 @@ def title_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("site", "b.phrase", (-F.col("b.m")).alias("n_pages"), "total").where((F.col("n_pages") >= 5) & (F.col("n_pages") >= F.col("total") * 0.15))
 
 
-QUERIES = {f.__name__: f for f in (keyphrase_counts, keyword_prominence, shingle_frequency, near_duplicate_pairs, near_duplicate_classes, boilerplate_median, repeated_sentences, title_concentration)}
+QUERIES = {f.__name__: f for f in (keyphrase_counts, keyword_prominence, shingle_frequency, near_duplicate_pairs, near_duplicate_classes, near_descriptions, boilerplate_median, repeated_sentences, title_concentration)}
 
 _STOP = "[" + ",".join("'" + w.replace("'", "''") + "'" for w in text.STOPWORDS) + "]"
 
@@ -158,6 +165,7 @@ j AS (SELECT a.site, a.lang, a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*
 x AS (SELECT site, lang, a, b, round(c::DOUBLE / (na + nb - c), 6) AS similarity FROM j WHERE c::DOUBLE / (na + nb - c) >= 0.8)"""
 SQL = {
     "near_duplicate_pairs": f"WITH {_ALL} SELECT * FROM x",
+    "near_descriptions": f"""WITH {_ALL.replace("coalesce(source, '') AS site, coalesce(lang, '') AS lang, doc_id", "'' AS site, '' AS lang, page_id AS doc_id").replace("coalesce(text, '')", "description").replace("FROM documents", "FROM pages WHERE description IS NOT NULL")} SELECT a, b, similarity FROM x""",
     "near_duplicate_classes": f"""WITH {_ALL}, l AS (SELECT site, lang, a AS id FROM x UNION ALL SELECT site, lang, b FROM x)
 SELECT s.doc_id, k.id AS class_id, (SELECT count(*) FROM l WHERE l.site = k.site AND l.lang = k.lang AND l.id = k.id) AS n_links FROM s JOIN k ON s.site = k.site AND s.lang = k.lang AND s.s = k.s""",
     "keyphrase_counts": f"WITH p AS (SELECT doc_id, unnest({_phrases('text')}) AS phrase FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, phrase, count(*) AS c FROM p GROUP BY 1, 2) SELECT phrase, CAST(sum(c) AS BIGINT) AS occurrences, count(*) AS n_texts FROM c GROUP BY 1",
