@@ -4,8 +4,7 @@ Multiway differencing. Items are dealt to blocks of a bounded number of containe
 each block is packed for itself. In a block every item begins as a partition of its own into k windows; the two
 partial partitions of the largest difference between their windows are merged, the fullest window of the one
 with the emptiest of the other, until one partition is left, whose windows are near equal. k begins at the
-least number that could do. A window above the capacity first passes on what it holds too much of, item by
-item, to the fullest window that takes it; if that fails, k rises by one and the block is packed anew.
+least number that could do; whenever a window is above the capacity, k rises by one and the block is packed anew.
 
 An item above the capacity alone is cut into containers that it fills, and its rest is packed as an item.
 
@@ -67,35 +66,12 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return windows + [[] for _ in range(k - len(windows))]
 
 
-def _relieve(sizes: list[int], windows: list[list[int]], capacity: int) -> bool:
-    """Moves items out of windows above the capacity; whether all fit then."""
-    sums = [sum(sizes[i] for i in w) for w in windows]
-    loose = []
-    for w, own in enumerate(windows):
-        own.sort(key=lambda i: (-sizes[i], i))
-        while sums[w] > capacity:
-            over = sums[w] - capacity
-            fit = [i for i in own if sizes[i] >= over]
-            out = fit[-1] if fit else own[0]
-            own.remove(out)
-            sums[w] -= sizes[out]
-            loose.append(out)
-    for i in sorted(loose, key=lambda i: (-sizes[i], i)):
-        room = [(capacity - s - sizes[i], w) for w, s in enumerate(sums) if s + sizes[i] <= capacity]
-        if not room:
-            return False
-        _, w = min(room)
-        windows[w].append(i)
-        sums[w] += sizes[i]
-    return True
-
-
-def pack_block(sizes: list[int], capacity: int, *, pass_on: bool = True) -> list[list[int]]:
-    """Windows of item indexes, none above the capacity. Sizes lie between 1 and the capacity; ``pass_on`` is the addition to the method."""
+def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Windows of item indexes, none above the capacity. Sizes lie between 1 and the capacity."""
     k = max(1, -(-sum(sizes) // capacity))
     while True:
         windows = differencing(sizes, k)
-        if all(sum(sizes[i] for i in w) <= capacity for w in windows) or (pass_on and _relieve(sizes, windows, capacity)):
+        if all(sum(sizes[i] for i in w) <= capacity for w in windows):
             return [w for w in windows if w]
         k += 1
 
