@@ -10,17 +10,18 @@
    are true; no labelled data is used. A prior that holds a tenth of the data's weight says what a vote means, so
    the two classes can't change places, and few spans decide nothing by themselves.
 4. A logistic classifier over the span itself and its surroundings (shapes, affixes, neighbouring words, line
-   ends; not the votes) is trained on the estimate, on up to ``TRAIN_SPANS`` spans of each kind drawn by a hash. The
-   evidence of both decides each span: a context that goes with false candidates speaks against a doubtful one.
+   ends; not the votes) is trained on the estimate, on all spans. The evidence of both decides each span: a context
+   that goes with false candidates speaks against a doubtful one.
 
 Candidates are found in one pass and written to the shared folder; counting, training and deciding read that
-table, whose rows are some numbers a span. Only patterns and the bounded sample come to the driver.
+table, whose rows are some numbers a span. Patterns come to the driver, and up to ``HELD_SPANS`` spans for training;
+where there are more, the executors sum each round's gradient over all of them.
 :func:`redact` decides again where the text is, so no text is shuffled.
 
 Defined cases: null, empty and blank texts have no spans; positions are code points; texts are read whole; a
 repeated text has its spans under each id; spans of one text don't overlap (of persons that do the first and longer
 one counts); with an empty gazetteer names are found by their surroundings alone; a gazetteer above ``MOST_NAMES``
-is not sent to the tasks but joined to the words of the texts.
+is not sent to the tasks: its names, and the affixes counted over all of them, are joined to the words of the texts.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from __future__ import annotations
 import re
 from bisect import bisect
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,10 @@ from pyspark.sql import types as T
 from sitelode.session import cut
 
 KINDS = ("email", "id_number", "address", "phone", "person")
-#: Gazetteers up to this size (some 10 MB) are sent to the executors; affixes are learned from no more entries.
+#: Gazetteers up to this size (some 10 MB) are sent to the executors.
 MOST_NAMES = 200_000
-#: Spans of each kind that the classifier is trained on, about.
-TRAIN_SPANS = 20_000
+#: Up to so many spans (60 MB) the driver trains the classifier; beyond, the executors sum the gradients.
+HELD_SPANS = 2_000_000
 
 _L = "A-Za-zÀ-ÖØ-öø-žȘ-ț"
 _UP = "A-ZÀ-ÖØ-Þ"
@@ -144,11 +145,11 @@ class Gazetteer:
         self.known: dict[str, int] = {}
         #: Words that are no names, for sets of words to be cut down at once.
         self.no: set[str] = set()
-        #: Words that a join told about, by case-folded word: bits 1 and 2.
+        #: Words that a join told about, by case-folded word: the bits of :meth:`kind`.
         self.told: dict[str, int] = {}
 
     def tell(self, listed: dict[str, int]) -> None:
-        """Takes the listed words of one text from a join."""
+        """Takes the known words of one text from a join."""
         self.told = listed
         self.known.clear()
         self.no.clear()
@@ -409,6 +410,21 @@ def candidates(text: str, names: Gazetteer) -> list[tuple[str, int, int, str, tu
     return out
 
 
+#: Words as the grammars see them: with case ignored, the class has a few more letters.
+_RUNS = re.compile(rf"[{_L}]{{2,}}"), re.compile(rf"[{_L}]{{2,}}", re.I)
+_APOSTROPHE = re.compile(rf"[{_UP}][{_LOW}]*['’][{_LOW}'’]*")
+
+
+def asked(text: str) -> set[str]:
+    """Every word, case-folded, that :func:`candidates` may ask the gazetteer about."""
+    words = {w for runs in _RUNS for w in runs.findall(text)}
+    for w in _APOSTROPHE.findall(text):  # a cued name may end before its last apostrophe
+        words |= {w, w[: max(w.rfind("'"), w.rfind("’"))]}
+    if _NATIVE_MARK.search(text):
+        words |= {m.group(m.lastgroup) for m in _NATIVE.finditer(text)}
+    return {w.casefold() for w in words}
+
+
 #: Features of a span, and the weights they share by hash.
 N_FEATURES, WEIGHTS = 14, 4096
 _SHAPES = ((re.compile(r"\d+"), "9"), (re.compile(rf"[{_UP}]+"), "A"), (re.compile(rf"[{_LOW}]+"), "a"))
@@ -474,17 +490,32 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.nda
     return p
 
 
-def train(indexes: np.ndarray, target: np.ndarray, rounds: int = 150) -> np.ndarray:
-    """Weights of a logistic regression over hashed features on probabilities; a span's evidence is against the share of true ones."""
-    w, scale = np.zeros(WEIGHTS), np.full(WEIGHTS, 1e-6)
-    base = np.log(np.clip(target.mean(), 0.02, 0.98) / (1 - np.clip(target.mean(), 0.02, 0.98)))
-    penalty = 2.0 / len(indexes)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(base + w[indexes].sum(1), -30, 30)))
-        grad = np.bincount(indexes.ravel(), np.repeat((p - target) / len(indexes), indexes.shape[1]), WEIGHTS) + penalty * w
-        scale += grad**2
-        w -= 0.3 * grad / np.sqrt(scale)
-    return w
+#: Rounds of training.
+ROUNDS = 150
+
+
+def gradient(w: np.ndarray, base: float, indexes: np.ndarray, target: np.ndarray, step: int = 16_384) -> np.ndarray:
+    """By weight, the errors of the spans that have it: what some spans add to the gradient."""
+    out = np.zeros(WEIGHTS)
+    for i in range(0, len(indexes), step):
+        x = indexes[i : i + step].astype(np.intp)
+        p = 1 / (1 + np.exp(-np.clip(base + w[x].sum(1), -30, 30)))
+        out += np.bincount(x.ravel(), np.repeat(p - target[i : i + step], x.shape[1]), WEIGHTS)
+    return out
+
+
+def train(totals: dict[str, int], errors: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Weights by kind of a logistic regression over hashed features on probabilities; a span's evidence is against the share of true ones.
+
+    ``errors`` has the gradients over all spans of each kind, whose numbers are ``totals``.
+    """
+    weights, scales = ({k: np.full(WEIGHTS, x) for k in totals} for x in (0.0, 1e-6))
+    for _ in range(ROUNDS):
+        for k, own in errors(weights).items():
+            grad = own / totals[k] + 2.0 / totals[k] * weights[k]
+            scales[k] += grad**2
+            weights[k] -= 0.3 * grad / np.sqrt(scales[k])
+    return weights
 
 
 class Decision:
@@ -519,30 +550,48 @@ def pattern_odds(counts: dict[str, dict[int, int]]) -> dict[str, dict[int, float
 _SPAN = "kind string, start_char int, end_char int, pattern int, features array<int>"
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([n.casefold() for n in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["_w", "name_part"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [sorted(asked(t)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["_id", "_words"])
+
+
 class _Finder:
-    """Proposes spans of texts: the gazetteer in the task's memory, or the listed words of each text from a join."""
+    """Proposes spans of texts: the gazetteer in the task's memory, or the known words of each text from a join."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, names: DataFrame) -> None:
         spark = df.sparkSession
         named = names.select("name", "name_part").where("name is not null")
-        order = F.xxhash64("name")
         few = [(r[0], r[1]) for r in named.limit(MOST_NAMES + 1).collect()]
         self.joined = len(few) > MOST_NAMES
-        if self.joined:
-            few = [(r[0], r[1]) for r in named.orderBy(order, "name", "name_part").limit(MOST_NAMES).collect()]
-        self.shared = spark.sparkContext.broadcast(few)
+        self.shared = spark.sparkContext.broadcast([] if self.joined else few)
         self.texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         if self.joined:
             self.texts = self._with_listed(named)
 
     def _with_listed(self, named: DataFrame) -> DataFrame:
-        """Texts with the words of theirs that the gazetteer lists, exactly, whatever its size."""
-        bits = named.groupBy(F.lower("name").alias("_w")).agg(F.bit_or(F.when(F.col("name_part") == "given", 1).otherwise(2)).alias("_bits"))
-        words = F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(rf"([{_L}]{{2,}})"), 1), F.lower))
-        each = self.texts.select("_id", F.explode(words).alias("_w")).distinct()
+        """Texts with what the whole gazetteer says of their words, as :meth:`Gazetteer.kind` does, whatever its size."""
+        folded = named.where("name != ''").mapInArrow(_folded, "_w string, name_part string")
+        listed = cut(folded.groupBy("_w").agg(F.bit_or(F.when(F.col("name_part") == "given", 1).otherwise(2)).alias("_bits")), "listed")
+        id_type = self.texts.schema["_id"].dataType
+        words = cut(self.texts.where("_text is not null").mapInArrow(_asked, T.StructType([T.StructField("_id", id_type), T.StructField("_words", T.ArrayType(T.StringType()))])), "words")
+        each = words.select("_id", F.explode("_words").alias("_w"))
+        at = F.explode(F.sequence(F.lit(3), F.length("_w") - 2)).alias("_at")
+        pieces = {"_begin": F.expr("substring(_w, 1, _at)"), "_end": F.expr("substring(_w, _at + 1)")}
+        made = each.where(F.length("_w") > 4).select("_w").distinct().select("_w", at).withColumns(pieces)
+        for name, piece in pieces.items():
+            bits = sum(F.when(F.count_if(F.col("_bits").bitwiseAND(part) > 0) >= Gazetteer.LEAST, 4 * part).otherwise(0) for part in (1, 2))
+            affixes = listed.where(F.length("_w") > 4).select("_w", "_bits", at).groupBy(piece.alias(name)).agg(bits.alias(f"{name}_bits"))
+            made = made.join(affixes.where(f"{name}_bits > 0"), name)
+        known = listed.union(made.select("_w", F.col("_begin_bits").bitwiseAND(F.col("_end_bits")))).groupBy("_w").agg(F.bit_or("_bits").alias("_bits")).where("_bits > 0")
         # A frequent word is on the left side only, where a skewed partition is split.
-        listed = each.join(bits, "_w").groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("_w", "_bits"))).alias("_listed"))
-        return self.texts.join(listed, "_id", "left")
+        own = each.join(known, "_w").groupBy(F.col("_id").alias("_key")).agg(F.map_from_entries(F.collect_set(F.struct("_w", "_bits"))).alias("_listed"))
+        return self.texts.join(own, F.col("_id").eqNullSafe(F.col("_key")), "left").drop("_key")
 
     def map(self, each, schema: T.StructType) -> DataFrame:
         """Rows of ``each(text, gazetteer)`` for each text: (id, values) as the schema has them."""
@@ -572,22 +621,74 @@ def _proposals(text: str | None, gazetteer: Gazetteer) -> Iterator[tuple]:
             yield kind, a, b, _code(kind, form, votes), features(text, a, b, kind)
 
 
+#: Spans of a block of training data, which makes rows of 4 KB, and tasks that sum gradients at most (160 KB from each).
+BLOCK, SUMMING = 128, 200
+
+
+def _blocks(spans: DataFrame) -> DataFrame:
+    """All spans as training data: blocks of one kind, patterns and features as two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, patterns = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_numpy().astype("<u2")
+            own = batch.column(2).flatten().to_numpy().reshape(-1, N_FEATURES).astype("<u2")
+            rows = []
+            for kind in KINDS:
+                at = np.flatnonzero(kinds == kind)
+                rows += [(kind, patterns[x].tobytes(), own[x].tobytes()) for x in np.split(at, range(BLOCK, len(at), BLOCK)) if len(x)]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema(list(zip(names, (pa.string(), pa.binary(), pa.binary())))))
+
+    names = ("kind", "patterns", "features")
+    return spans.select("kind", "pattern", "features").mapInArrow(run, "kind string, patterns binary, features binary")
+
+
+def _unpacked(blocks: Iterable[tuple], chances: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Features and targets by kind; ``chances`` has the target of each pattern."""
+    parts: dict[str, tuple[list, list]] = {}
+    for kind, patterns, own in blocks:
+        mine = parts.setdefault(kind, ([], []))
+        mine[0].append(patterns)
+        mine[1].append(own)
+    return {k: (np.frombuffer(b"".join(x), "<u2").reshape(-1, N_FEATURES), chances[k][np.frombuffer(b"".join(p), "<u2")]) for k, (p, x) in parts.items()}
+
+
+def _summed(blocks: DataFrame, weights: dict[str, np.ndarray], bases: dict[str, float], chances: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The gradients by kind, summed by the executors; a number for each weight comes back from a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for k, (own, target) in _unpacked(zip(*(c.to_pylist() for c in batch.columns)), chances).items():
+                sums[k] = sums.get(k, 0.0) + gradient(weights[k], bases[k], own, target)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["kind", "sums"])
+
+    out = {k: np.zeros(WEIGHTS) for k in weights}
+    for k, sums in blocks.coalesce(SUMMING).mapInArrow(run, "kind string, sums binary").collect():  # weights, not spans
+        out[k] += np.frombuffer(sums)
+    return out
+
+
 def _decision(spans: DataFrame) -> Decision:
-    """Counts the patterns of all spans, estimates, and trains on the sample."""
+    """Counts the patterns of all spans, estimates, and trains on all spans."""
     counts: dict[str, dict[int, int]] = {}
     for r in spans.groupBy("kind", "pattern").agg(F.count("*").alias("n")).collect():  # patterns, not spans
         counts.setdefault(r["kind"], {})[r["pattern"]] = r["n"]
     odds = pattern_odds(counts)
-    share = {k: min(1.0, TRAIN_SPANS / sum(own.values())) for k, own in counts.items()}
-    drawn = F.lit(False)
-    for kind, x in share.items():
-        drawn = drawn | ((F.col("kind") == kind) & (F.pmod(F.xxhash64(spans.columns[0], "start_char"), F.lit(1_000_000)) < F.lit(int(x * 1_000_000))))
-    sample: dict[str, tuple[list, list]] = {}
-    for r in spans.where(drawn).select("kind", "pattern", "features").collect():  # TRAIN_SPANS a kind
-        own = sample.setdefault(r["kind"], ([], []))
-        own[0].append(r["features"])
-        own[1].append(1 / (1 + np.exp(-odds[r["kind"]][r["pattern"]])))
-    weights = {k: train(np.array(x), np.array(y)) for k, (x, y) in sorted(sample.items())}
+    totals, chances, bases = {}, {}, {}
+    for k, own in odds.items():
+        codes, n = list(own), np.array([counts[k][c] for c in own], dtype=float)
+        chances[k] = np.zeros(max(codes) + 1)
+        chances[k][codes] = 1 / (1 + np.exp(-np.array(list(own.values()))))
+        totals[k] = int(n.sum())
+        true = np.clip(n @ chances[k][codes] / n.sum(), 0.02, 0.98)
+        bases[k] = float(np.log(true / (1 - true)))
+    blocks = _blocks(spans)
+    if sum(totals.values()) <= HELD_SPANS:
+        held = _unpacked(blocks.collect(), chances)
+        weights = train(totals, lambda w: {k: gradient(w[k], bases[k], *own) for k, own in held.items()})
+    else:
+        blocks = cut(blocks, "training")
+        weights = train(totals, lambda w: _summed(blocks, w, bases, chances))
     return Decision(odds, weights)
 
 

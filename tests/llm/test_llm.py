@@ -444,6 +444,75 @@ def test_a_gazetteer_of_any_size(spark, monkeypatch):
     assert personal.redact(df, "id", "text", names).where("text like 'Author: [PERSON] | notes on %'").count() == 16
 
 
+#: Names of each part by affixes, with letters that lower case and case folding tell apart, apostrophes and other scripts.
+MANY_NAMES = [*NAMES, ("Groß", "family"), ("Weißmann", "family"), ("D'angelo", "family"), ("王小明", "family"), ("Straß", None), ("Fenmir", "given"), ("Fenmir", "family"), ("", "given"), (None, "family")]
+ODD_TEXTS = [
+    "Author: Fenwyn Holley | x", "Author: Zorsa Tavwick-Bexrick, said", "FENMIR GROSS and Fenmir GROß, Fenmir GROẞ", "Dear Nelhagen,\nthanks", "Dr. D'angelo said", "Dr. O'Dall'a'Monte", "Dr. D'angelo'S", "Weissmann, Viklo (N. Arnley)", "联系人：王小明，电话",
+    "Fenlo d'Arnhagen wrote", "NELſA HOLRICK", "Vikmir de la Bexhagen; M. Weißmann", "Owner: Velmir Sonwick", "Dear Strass,\n", "İzorlo Holley ŉ Zorlo", "Автор: Иван Петрович Сидоров", "", "   ", None,
+]
+
+
+def test_words_asked_of_the_gazetteer():
+    class Heard(personal.Gazetteer):
+        heard = set()
+
+        def kind(self, word):
+            self.heard.add(word.casefold())
+            return super().kind(word)
+
+    names = [(n, p) for n, p in MANY_NAMES if n]
+    for text in filter(None, ODD_TEXTS):
+        whole, told = Heard(names), personal.Gazetteer([])
+        whole.heard = set()
+        want = personal.candidates(text, whole)
+        assert whole.heard <= personal.asked(text)
+        told.tell({w: bits for w in personal.asked(text) if (bits := personal.Gazetteer(names).kind(w))})
+        assert personal.candidates(text, told) == want
+
+
+def test_a_joined_gazetteer_is_known_whole(spark, monkeypatch):
+    """Names, and what they are made of, from all entries, whether they are sent or joined; under repeated ids and without one."""
+    rows = [(None if i == 3 else i // 2, t) for i, t in enumerate(ODD_TEXTS * 2)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    names = spark.createDataFrame(MANY_NAMES * 2, "name string, name_part string")
+
+    def proposed():
+        return Counter((r["_id"], r["kind"], r["start_char"], r["end_char"], r["pattern"], tuple(r["features"])) for r in personal._found(df, "id", "text", names)[1].collect())
+
+    sent = proposed()
+    assert sum(sent.values()) > 20
+    for most in (3, 20):
+        monkeypatch.setattr(personal, "MOST_NAMES", most)
+        assert proposed() == sent
+
+
+def test_the_classifier_is_trained_on_all_spans(spark, monkeypatch):
+    import numpy as np
+
+    n = 30_000
+    codes = [personal._code("phone", form, v) for form, v in (("abroad", (1, 1, 1, 1, 0)), ("pairs", (0, 0, -1, 0, -1)), ("national", (0, 0, 1, 0, 0)))]
+    features = [F.pmod(F.xxhash64("id", F.lit(j)), F.lit(7 + 40 * j)).cast("int") for j in range(personal.N_FEATURES)]
+    pattern = F.element_at(F.array(*map(F.lit, codes)), (F.pmod(F.xxhash64("id"), F.lit(3)) + 1).cast("int"))
+    spans = spark.range(n).select(F.col("id").alias("_id"), F.lit("phone").alias("kind"), F.lit(0).alias("start_char"), F.lit(5).alias("end_char"), pattern.alias("pattern"), F.array(*features).alias("features"))
+    spans = personal.cut(spans, "spans")
+    rows = spans.select("pattern", "features").collect()
+
+    def brute(rounds):
+        odds = personal.pattern_odds({"phone": dict(Counter(r[0] for r in rows))})["phone"]
+        x, y = np.array([r[1] for r in rows]), 1 / (1 + np.exp(-np.array([odds[r[0]] for r in rows])))
+        w, scale, base = np.zeros(personal.WEIGHTS), np.full(personal.WEIGHTS, 1e-6), np.log(y.mean() / (1 - y.mean()))
+        for _ in range(rounds):
+            grad = np.bincount(x.ravel(), np.repeat(1 / (1 + np.exp(-base - w[x].sum(1))) - y, x.shape[1]), personal.WEIGHTS) / n + 2.0 / n * w
+            scale += grad**2
+            w -= 0.3 * grad / np.sqrt(scale)
+        return w
+
+    assert np.allclose(personal._decision(spans).weights["phone"], brute(150), atol=1e-6)
+    monkeypatch.setattr(personal, "HELD_SPANS", 0)
+    monkeypatch.setattr(personal, "ROUNDS", 5)
+    assert np.allclose(personal._decision(spans).weights["phone"], brute(5), atol=1e-6)
+
+
 def test_halves_of_the_texts_decide_alike(spark, small):
     """A span has the same decision from the whole, and from one half of the texts."""
     d = small.replace("sf0.001", "sf0.01")
